@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievefp.llm import bpe
+from sievefp.llm import bpe, decontaminate, lines
 from sievefp.llm.common import table
 
 
@@ -19,15 +19,30 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_key")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict:
     return {
+        "op2_decontaminate": op2_decontaminate,
+        "op5_line_dedup": op5_line_dedup,
         "op8_bpe_trie": op8_bpe_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontaminate": decontaminate.ORACLE,
+        "op5_line_dedup": lines.ORACLE,
+    }
