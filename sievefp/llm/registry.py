@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievefp.llm import bpe, decontaminate, lines
+from sievefp.llm import bpe, decontaminate, lines, warc
 from sievefp.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_key")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digests(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "text")
@@ -36,6 +40,7 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op4_warc": op4_warc,
         "op5_line_dedup": op5_line_dedup,
         "op8_bpe_trie": op8_bpe_trie,
     }
@@ -44,5 +49,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE,
+        "op4_warc": warc.ORACLE,
         "op5_line_dedup": lines.ORACLE,
     }
