@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievefp.llm.common import extended
+
 # The byte alphabet of byte-level BPE - printable bytes stand for themselves,
 # the others follow from code point 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -262,8 +264,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
             made = [None if t is None else bpe.listed(j) for t, j in zip(texts, bpe.encode_batch(texts))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], [*names, ids])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(ids, "array<int>")
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    base = docs.select(*[F.col(f"`{c}`") for c in names])
+    return base.mapInArrow(run, extended(base, ids, "array<int>"))
 
 
 def decode_documents(coded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -277,8 +279,8 @@ def decode_documents(coded: DataFrame, path: str, ids: str = "ids", text: str =
             made = [None if i is None else bpe.decode(i) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*names, text])
 
-    schema = coded.select(*[F.col(f"`{c}`") for c in names]).schema.add(text, "string")
-    return coded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    base = coded.select(*[F.col(f"`{c}`") for c in names])
+    return base.mapInArrow(run, extended(base, text, "string"))
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:

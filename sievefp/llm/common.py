@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 U64 = np.uint64
 _OWN_SHARED = "/tmp/checkpoints/sievefp"
@@ -44,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extended(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of df and one more column."""
+    return StructType([*df.schema.fields, StructField(name, _parse_datatype_string(kind))])
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -189,7 +195,7 @@ def summed_counts(df: DataFrame, counter, slots: int, names: list[str], per_row:
 
     def count(batches):
         total = {}
-        for name, array in counter(batches):
+        for name, array in (x for found in counter(batches) for x in found.items()):
             if name in total:
                 total[name] += array
             else:

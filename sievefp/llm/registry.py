@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievefp.llm import bpe, decontaminate, lines, warc
+from sievefp.llm import bpe, decontaminate, lines, quality, warc
 from sievefp.llm.common import table
 
 
@@ -37,12 +37,17 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op4_warc": op4_warc,
         "op5_line_dedup": op5_line_dedup,
         "op8_bpe_trie": op8_bpe_trie,
+        "op10_importance_resampling": op10_importance_resampling,
     }
 
 
