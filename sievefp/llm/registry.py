@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievefp.llm import bpe, decontaminate, lines, quality, warc
+from sievefp.llm import bpe, decontaminate, jaccard, lines, quality, warc
 from sievefp.llm.common import table
 
 
@@ -19,6 +19,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90).drop("_key")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("_key")
@@ -43,6 +47,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_decontaminate": op2_decontaminate,
         "op4_warc": op4_warc,
         "op5_line_dedup": op5_line_dedup,
@@ -53,6 +58,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_jaccard_join": jaccard.ORACLE,
         "op2_decontaminate": decontaminate.ORACLE,
         "op4_warc": warc.ORACLE,
         "op5_line_dedup": lines.ORACLE,
