@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievefp.llm import bpe, decontaminate, jaccard, lines, quality, warc
+from sievefp.llm import bpe, brown, decontaminate, jaccard, lines, quality, warc
 from sievefp.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op4_warc": op4_warc,
         "op5_line_dedup": op5_line_dedup,
         "op8_bpe_trie": op8_bpe_trie,
+        "op9_brown_scores": op9_brown_scores,
         "op10_importance_resampling": op10_importance_resampling,
     }
 
