@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 U64 = np.uint64
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_SHARED = "/tmp/checkpoints/sievefp"
 
 
@@ -35,10 +36,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: df written as a Parquet table in the shared folder and read again."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: df written as a Parquet table in the shared folder and read again.
+
+    Once it is written nothing reads its shuffle files any more, so Spark may remove them.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

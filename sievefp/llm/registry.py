@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievefp.llm import bpe, brown, decontaminate, jaccard, lines, quality, warc
+from sievefp.llm import bpe, brown, decontaminate, jaccard, lines, quality, suffixes, warc
 from sievefp.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_key")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ def queries() -> dict:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op2_decontaminate": op2_decontaminate,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_warc": op4_warc,
         "op5_line_dedup": op5_line_dedup,
         "op8_bpe_trie": op8_bpe_trie,
