@@ -1,25 +1,64 @@
-"""The training-data pipeline: documents through the operators of sievefp.llm."""
+"""The training-data pipeline: documents through five operators of sievefp.llm.
+
+Each stage takes what the one before it kept, is written as Parquet in the shared folder and
+read again.  All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievefp.llm import bpe
-from sievefp.llm.common import new_path, table
+from sievefp.llm import bpe, decontaminate, jaccard, lines, quality
+from sievefp.llm.common import new_path, stored, table, text_key
 from sievefp.llm.registry import vocabulary
 
 
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling accepts."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of three-line windows; one that loses all its
+    lines goes, and n_chars follows the text."""
+    found = lines.line_dedup(docs)
+    left = found.filter(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))))
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", length).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group of near copies."""
+    return jaccard.one_of_each(docs, size=5, percent=80)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten-word window of a benchmark item."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = stored(found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_hit")), "contaminated")
+    keyed = docs.withColumn("_key", text_key())
+    return keyed.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hit")), "left_anti").drop("_key")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(docs, vocabulary())
+    """Token ids of each document, and digests of them and of the text decoded from them."""
+    return bpe.bpe_digests(docs, vocabulary(), ids=True)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("quality", accept),
+    ("lines", dedup_lines),
+    ("near copies", dedup_near),
+    ("decontamination", remove_contaminated),
+    ("bpe", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = new_path(spark, f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -260,9 +260,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
     def run(batches):
         bpe = coder(path)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            made = [None if t is None else bpe.listed(j) for t, j in zip(texts, bpe.encode_batch(texts))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], [*names, ids])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = part.column(at).to_pylist()
+                made = [None if t is None else bpe.listed(j) for t, j in zip(texts, bpe.encode_batch(texts))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.int32()))], [*names, ids])
 
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     return base.mapInArrow(run, extended(base, ids, "array<int>"))
@@ -283,27 +285,30 @@ def decode_documents(coded: DataFrame, path: str, ids: str = "ids", text: str =
     return base.mapInArrow(run, extended(base, text, "string"))
 
 
-def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null counts as empty.
 
     The text that is digested is decoded from the ids.  Rows that repeat, and null ids, give
-    one row each.
+    one row each.  With ids=True the column ids holds them as little-endian unsigned 32-bit
+    integers.
     """
+    import numpy as np
 
     def run(batches):
         bpe = coder(path)
         sha = hashlib.sha256
         for batch in batches:
-            n, coded, plain = [], [], []
+            n, coded, plain, packed = [], [], [], []
             for joined in bpe.encode_batch(batch.column(1).to_pylist()):
                 n.append(joined.count(",") + 1 if joined else 0)
                 coded.append(sha(joined.encode()).hexdigest())
                 plain.append(sha(bpe.decode_joined(joined).encode()).hexdigest())
+                if ids:
+                    packed.append(np.fromstring(joined, "<u4", sep=",").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(plain)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(plain), *[pa.array(packed, pa.binary())] * ids],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' * ids}")
