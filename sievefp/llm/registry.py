@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievefp.llm import bpe, brown, decontaminate, jaccard, lines, quality, suffixes, warc
+from sievefp.llm import bpe, brown, covertree, decontaminate, jaccard, lines, quality, suffixes, warc
 from sievefp.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -60,6 +64,7 @@ def queries() -> dict:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_warc": op4_warc,
         "op5_line_dedup": op5_line_dedup,
+        "op7_cover_tree": op7_cover_tree,
         "op8_bpe_trie": op8_bpe_trie,
         "op9_brown_scores": op9_brown_scores,
         "op10_importance_resampling": op10_importance_resampling,
@@ -72,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.ORACLE,
         "op4_warc": warc.ORACLE,
         "op5_line_dedup": lines.ORACLE,
+        "op7_cover_tree": covertree.ORACLE,
     }
