@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievefp.llm import bpe, brown, covertree, decontaminate, jaccard, lines, quality, suffixes, warc
+from sievefp.llm import bpe, brown, covertree, decontaminate, jaccard, lines, quality, suffixes, tokenfile, warc
 from sievefp.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +68,7 @@ def queries() -> dict:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_warc": op4_warc,
         "op5_line_dedup": op5_line_dedup,
+        "op6_token_files": op6_token_files,
         "op7_cover_tree": op7_cover_tree,
         "op8_bpe_trie": op8_bpe_trie,
         "op9_brown_scores": op9_brown_scores,
