@@ -5,7 +5,7 @@ good documents, and the raw text's, from all documents; both count in how many d
 n-gram stands.  A document's log weight is the sum of the log ratios of its distinct n-grams.
 Only n-grams that part the labelled good from the labelled bad count, so that text which is
 merely rare or often copied is no evidence.  Documents are resampled by Gumbel top-k: to each
-log weight a Gumbel variate is added, and the k largest are taken, k being the number of
+log weight a Gumbel variate times a temperature is added, and the k largest are taken, k being the number of
 documents that reach the cut which parts held-out labelled good from bad.
 
 The target, the choice of n-grams and the cut come from at most ``labelled`` labelled
@@ -31,6 +31,9 @@ PRIOR = 1.0
 #: An n-gram counts from this likelihood ratio statistic between good and bad on, and only
 #: where it stands in so many labelled documents.
 EVIDENCE, LEAST = 20.0, 4
+#: Chances to be taken go as the weight to the power 1 / TEMPERATURE; low, so that good
+#: documents do not give way to bad ones by chance.
+TEMPERATURE = 0.1
 #: A good document that is rejected counts as much as this many bad ones that are kept.
 KEEP_CARE = 3.0
 
@@ -186,7 +189,8 @@ def _best_cut(w: np.ndarray, good: np.ndarray, n: np.ndarray) -> float:
 
 
 def weigh(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", weight: str = "log_weight", key: str = "sample_key", seed: int = 7) -> DataFrame:
-    """docs with log_weight and sample_key, the weight plus a Gumbel variate by id and seed."""
+    """docs with log_weight and sample_key, the weight plus a Gumbel variate, by id and seed,
+    times the temperature."""
     names = [c for c in docs.columns if c not in (weight, key)]
     at = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
@@ -199,7 +203,7 @@ def weigh(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     weighed = base.mapInArrow(run, extended(base, weight, "double"))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id}`")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return weighed.withColumn(key, F.col(weight) - F.log(-F.log(u)))
+    return weighed.withColumn(key, F.col(weight) - F.lit(TEMPERATURE) * F.log(-F.log(u)))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, small: int = 4096) -> float:
