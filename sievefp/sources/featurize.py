@@ -62,11 +62,10 @@ def thermometer(df: DataFrame, levels: tuple[float, ...] = (-0.1, 0.0, 0.1, 0.2)
     per_level = -(-size // 64)
 
     def word(level: float, w: int) -> Column:
-        total = F.lit(0).cast("long")
-        for i in range(64 * w, min(64 * w + 64, size)):
-            bit = F.lit(bits.signed(1 << (63 - i % 64))).cast("long")
-            total = total.bitwiseOR(F.when(F.get(vec, F.lit(i)).cast("double") > level, bit).otherwise(F.lit(0).cast("long")))
-        return total
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        places = F.sequence(F.lit(64 * w), F.lit(min(64 * w + 64, size) - 1))
+        bit = lambda i: F.call_function("shiftleft", one, (F.lit(63) - i % 64).cast("int"))
+        return F.aggregate(places, zero, lambda s, i: s.bitwiseOR(F.when(F.get(vec, i).cast("double") > level, bit(i)).otherwise(zero)))
 
     words = F.array(*[word(level, w) for level in levels for w in range(per_level)])
     packed = df.select(F.col(id).cast("long").alias("mol_id"), words.alias("words"))
