@@ -56,7 +56,8 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", window:
     )
     gone = stored(covered, "lines-gone").withColumnsRenamed({"_id": "_gid", "_key": "_gkey"})
     every = docs.withColumn("_key", text_key(f"`{text}`"))
-    matched = every.join(gone, F.col(f"`{id}`").eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey")), "left")
+    # always shuffled: the same plan at every size, with no broadcast that works for small corpora only
+    matched = every.hint("merge").join(gone, F.col(f"`{id}`").eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey")), "left")
     n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
