@@ -101,7 +101,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, id: str =
     found = starts.groupBy("_id", "_key").agg(F.collect_set(F.struct("win", "start")).alias("maybe"))
     found = stored(found, "starts").withColumnsRenamed({"_id": "_fid", "_key": "_fkey"})
     listed = docs.select(F.col(id).alias("_id"), text_key(text).alias("_key"), F.col(text).alias("_text"))
-    both = listed.join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_key") == F.col("_fkey")), "left")
+    both = listed.hint("merge").join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_key") == F.col("_fkey")), "left")
     both = both.withColumn("w", words("_text"))
     is_there = lambda m: F.slice(F.col("w"), m["start"] + 1, F.size(F.split(m["win"], " "))) == F.split(m["win"], " ")
     return both.select("_id", "_key", F.size("w").cast("long").alias("n_words"), F.filter("maybe", is_there).alias("matches"))
@@ -150,7 +150,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id: str = "
         .groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     )
     ids = stored(ids, "items-found").withColumnsRenamed({"_id": "_iid", "_key": "_ikey"})
-    both = per_doc.join(ids, F.col("_id").eqNullSafe(F.col("_iid")) & (F.col("_key") == F.col("_ikey")), "left")
+    both = per_doc.hint("merge").join(ids, F.col("_id").eqNullSafe(F.col("_iid")) & (F.col("_key") == F.col("_ikey")), "left")
     listed = F.coalesce("ids", F.array().cast("array<string>"))
     return both.select(
         F.col("_id").alias("doc_id"), "_key", "n_words", "n_hit",
