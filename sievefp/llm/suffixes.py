@@ -25,7 +25,7 @@ from sievefp.llm.common import U64, Hasher, mix, shuffles, slabs, stored, text_k
 LENGTH = 200
 GRAM = 32
 #: Contexts under one digit that are sorted in one place; larger groups are dealt out by window.
-TOGETHER = 256
+TOGETHER = 4096
 _DOC_SLOTS = 1 << 20
 _PIECE = 1 << 19
 
