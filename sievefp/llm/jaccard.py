@@ -10,8 +10,8 @@ by bounds from cutting both at the same shingles (suffix filter), then exactly.
 
 What is returned are components, so a pair whose documents are already connected need not be
 verified.  Within the documents that share a prefix shingle, first some rounds compare all
-with one of them; the pairs that are still between different components are then all
-verified.  A large group of near copies thus takes few comparisons a document, and no link
+with one of them; the pairs that are still between different components, and that part sizes
+do not rule out, are then all verified.  A large group of near copies thus takes few comparisons a document, and no link
 between components is missed.
 """
 
@@ -28,7 +28,9 @@ from sievefp.llm.common import SPACES, U64, byte_table, extended, mix, shuffles,
 from sievefp.llm.graph import components
 
 RARITY_SLOTS = 1 << 20
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Parts of the hash range whose sizes bound an overlap in the last round's join.
+PARTS = 64
 _K = U64(0xD6E8FEB86659FD93)
 _inside = byte_table(SPACES)
 
@@ -79,13 +81,14 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def _signatures(docs: DataFrame, rarity: np.ndarray, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """id, _key, n, fp (a digest of the set), prefix (its rarest shingles, rarest first)."""
+    """id, _key, n, fp (a digest of the set), prefix (its rarest shingles, rarest first)
+    and parts (how many members fall in each part of the hash range)."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches):
         counts = shared.value
         for batch in batches:
-            n, digest, ends, prefix = [], [], [0], []
+            n, digest, ends, prefix, parts = [], [], [0], [], []
             for s in shingle_sets(batch.column(2), size):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -94,18 +97,20 @@ def _signatures(docs: DataFrame, rarity: np.ndarray, id: str, text: str, size: i
                     seen = counts[(s & U64(RARITY_SLOTS - 1)).astype(np.int64)]
                     prefix.append(s[np.lexsort((s, seen))[:keep]].view(np.int64))
                 ends.append(ends[-1] + (len(prefix[-1]) if len(s) else 0))
+                parts.append(np.minimum(np.bincount((s >> U64(58)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
             values = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["id", "_key", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(parts, pa.list_(pa.int16()))], ["id", "_key", "n", "fp", "prefix", "parts"])
 
     base = docs.select(F.col(id).alias("id"), text_key(text).alias("_key"), F.col(text).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, _key long, n long, fp binary, prefix array<long>")
+    return base.mapInArrow(run, f"id {kind}, _key long, n long, fp binary, prefix array<long>, parts array<short>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int, many: bool) -> DataFrame:
     """rid, words (the sorted set as bytes) of the wanted (rid, fp, id, _key)."""
     base = docs.select(F.col(id).alias("_id"), text_key(text).alias("_dkey"), F.col(text).alias("text"))
+    base = base.hint("merge") if many else base
     rows = base.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_dkey") == F.col("_key"))).select("rid", "text")
 
     def run(batches):
@@ -171,6 +176,14 @@ def _roomy(n1, at1, n2, at2, percent: int):
     return (small * 100 >= large * percent) & (overlap * 100 >= (n1 + n2 - overlap) * percent)
 
 
+def _parts_agree(n1, parts1, n2, parts2, percent: int):
+    """Suffix filter on part sizes: members of different parts differ, so the sizes' differences
+    are a lower bound on what only one of the sets has."""
+    apart = F.aggregate(F.zip_with(parts1, parts2, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda s, d: s + d)
+    overlap = F.floor((n1 + n2 - apart) / 2)
+    return overlap * 100 >= (n1 + n2 - overlap) * percent
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, _key, n_shingles, component_id for every row of docs.
 
@@ -183,10 +196,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id: st
     spark = docs.sparkSession
     rarity = _rarity(docs, text, size)
     signed = stored(_signatures(docs, rarity, id, text, size, percent), "signatures")
-    reps = signed.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first(F.struct("id", "_key")).alias("doc"))
+    reps = signed.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first(F.struct("id", "_key")).alias("doc"))
     reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()), "representatives")
     where = reps.select("rid", "doc.id", "doc._key")
     places = reps.select("rid", "n", F.posexplode("prefix").alias("at", "shingle"))
+    common = stored(places.groupBy("shingle").count().filter("count > 1").select("shingle"), "shingles-shared")
+    places = stored(places.hint("merge").join(common, "shingle").select("rid", "n", "at", "shingle"), "places")
     comp, sets, tried, links = None, None, None, None
     for step in range(HUB_ROUNDS + 1):
         here = places.withColumn("comp", F.col("rid")) if comp is None else places.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
@@ -194,16 +209,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id: st
         hub = F.min(F.struct(F.xxhash64("rid", F.lit(step)).alias("h"), F.col("rid").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.col("comp").alias("hub_comp")))
         hubs = here.groupBy("shingle").agg(hub.alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle", "x.*").drop("h")
         hubs = stored(hubs, "hubs")
-        shared = here.join(hubs, "shingle")
+        shared = here.hint("merge").join(hubs, "shingle")
         if step < HUB_ROUNDS:
             shared = stored(shared, "shared")
             open_pairs = shared.filter("comp <> hub_comp").filter(_roomy(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), percent))
             pairs = open_pairs.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
             places = shared.select("rid", "n", "at", "shingle")
         else:
-            other = here.select("shingle", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("comp").alias("comp2"))
-            away = stored(shared.filter("comp <> hub_comp"), "away")
-            both = away.join(other, (away["shingle"] == other["shingle"]) & (F.col("comp") != F.col("comp2")) & _roomy(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
+            near = stored(shared.join(reps.select("rid", "parts", "prefix"), "rid"), "near")
+            other = near.select("shingle", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("comp").alias("comp2"), F.col("parts").alias("parts2"), F.col("prefix").alias("prefix2"))
+            away = stored(near.filter("comp <> hub_comp"), "away")
+            fits = _roomy(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent) & _parts_agree(F.col("n"), F.col("parts"), F.col("n2"), F.col("parts2"), percent)
+            # a pair is taken at its first common shingle only
+            first = ~F.arrays_overlap(F.slice("prefix", F.lit(1), F.col("at")), F.slice("prefix2", F.lit(1), F.col("at2")))
+            both = away.join(other, (away["shingle"] == other["shingle"]) & (F.col("comp") != F.col("comp2")) & fits & first)
             pairs = both.select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
@@ -212,11 +231,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id: st
             wanted = wanted if sets is None else wanted.join(sets.select("rid"), "rid", "left_anti")
             wanted = stored(wanted.join(where, "rid"), "wanted")
             if not wanted.isEmpty():
-                new = _sets(docs, wanted, id, text, size).dropDuplicates(["rid"])
+                new = _sets(docs, wanted, id, text, size, sets is None).dropDuplicates(["rid"])
                 sets = stored(new, "sets-once") if sets is None else sets.unionByName(stored(new, "sets-once"))
             found = stored(_verified(pairs, sets, percent), "links")
-            links = found if links is None else links.unionByName(found)
-            comp = stored(components(links), "components")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                comp = stored(components(links), "components")
         elif step < HUB_ROUNDS and hubs.isEmpty():
             break
     ids = signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
