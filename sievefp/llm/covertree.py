@@ -50,9 +50,9 @@ def _split(points: DataFrame, big: DataFrame, level: int) -> DataFrame:
     """Children of the points (rid, vec, node) of the big nodes (node, size): rid, child."""
     inside = points.join(F.broadcast(big) if big.count() <= BROADCAST_CENTRES else big, "node")
     fan = F.least(F.lit(FAN), F.ceil(F.col("size") / BLOCK) + 1)
-    share = (fan * 2 / F.col("size") * float(1 << 30)).cast("long")
+    share = (fan / F.col("size") * float(1 << 30)).cast("long")
     picked = inside.filter(F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(1 << 30)) < share)
-    # a node's centres are at most some FAN * 2 rows
+    # a node's centres are about FAN rows at most
     centres = stored(picked.groupBy("node").agg(F.collect_list("vec").alias("centres")), "centres")
     few = centres.agg(F.coalesce(F.sum(F.size("centres")), F.lit(0))).first()[0] <= BROADCAST_CENTRES
     joined = inside.join(F.broadcast(centres) if few else centres, "node").select("rid", "node", "vec", "centres")
@@ -132,6 +132,18 @@ def _nets(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
+def _narrow(raw: np.ndarray) -> np.ndarray:
+    """In single precision if nothing is lost."""
+    with np.errstate(over="ignore"):
+        single = raw.astype(np.float32)
+    return single if (single == raw).all() else raw
+
+
+def _points(data: bytes, rows: int, size: int) -> np.ndarray:
+    kind = np.float32 if len(data) == 4 * rows * size else np.float64
+    return unit(np.frombuffer(data, kind).reshape(rows, size))
+
+
 _BLOCK = "node string, size long, centre array<double>, radius double, rids binary, weights binary, vecs binary"
 
 
@@ -139,12 +151,13 @@ def _pack(key, table: pa.Table) -> pa.Table:
     table = table.sort_by("rid")
     rids, weights = table["rid"].to_numpy(), table["weight"].to_numpy()
     size = len(table["vec"][0])
-    x = unit(_matrix(table["vec"].combine_chunks(), size))
+    raw = _matrix(table["vec"].combine_chunks(), size)
+    x = unit(raw)
     middle = x.mean(axis=0)
     centre = x[int(np.argmax(x @ middle))]
     radius = float(_apart(x @ centre).max())
     return pa.table(
-        {"node": [key[0].as_py()], "size": [len(rids)], "centre": [centre.tolist()], "radius": [radius], "rids": [rids.tobytes()], "weights": [weights.tobytes()], "vecs": [x.tobytes()]}
+        {"node": [key[0].as_py()], "size": [len(rids)], "centre": [centre.tolist()], "radius": [radius], "rids": [rids.tobytes()], "weights": [weights.tobytes()], "vecs": [_narrow(raw).tobytes()]}
     )
 
 
@@ -211,8 +224,8 @@ def _visit(cosine: float):
                         links = np.concatenate([np.full(len(a), wb.sum()), np.full(len(b), wa.sum())])
                         other = np.concatenate([np.full(len(a), b[0]), np.full(len(b), a[0])])
                 else:
-                    x = np.frombuffer(row["a_vecs"], np.float64).reshape(len(a), -1)
-                    y = np.frombuffer(row["b_vecs"], np.float64).reshape(len(b), -1)
+                    x = _points(row["a_vecs"], len(a), len(row["a_centre"]))
+                    y = _points(row["b_vecs"], len(b), len(row["b_centre"]))
                     r, c = _compare(x, y, cosine, same)
                     if not len(r):
                         continue
@@ -274,7 +287,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id: str = "vec_id", v
     pairs = stored(_block_pairs(blocks, levels, float(np.sqrt(2 - 2 * cosine))), "block-pairs")
     named = lambda p: blocks.select(*[F.col(c).alias(f"{p}_{c}") for c in ("node", "centre", "radius", "rids", "weights", "vecs")])
     met = pairs.join(named("a"), F.col("a") == F.col("a_node")).join(named("b"), F.col("b") == F.col("b_node")).drop("a", "b")
-    met = met.repartition(F.xxhash64("a_node", "b_node"))
     found = stored(met.mapInArrow(_visit(cosine), _FOUND), "links")
     degree = found.groupBy("rid").agg(F.sum("links").alias("links"))
     comp = components(found.filter("rid <> other").select(F.col("rid").alias("a"), F.col("other").alias("b")).distinct())
