@@ -280,6 +280,31 @@ def test_brown(docs, rows, none, monkeypatch):
     assert brown.score(none).count() == 0
 
 
+def test_brown_classes_belong_to_words(spark, monkeypatch):
+    """Words are parted by what they stand beside, also where their hashes agree in the low
+    bits, and where they are too rare for the words that move one after another."""
+    low = {}
+    for i in range(4000):  # many pairs of one word of each kind that agree in 14 bits
+        for kind in "ab":
+            word = f"{kind}{i}"
+            low.setdefault(int(brown.word_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]), brown._inside)[0][0]) & (brown.SLOTS - 1), {})[kind] = word
+    pairs = [(x["a"], x["b"]) for x in low.values() if len(x) == 2][:200]
+    assert len(pairs) == 200
+    r = np.random.default_rng(1)
+    of = lambda k: [pairs[i][k] for i in r.permutation(200)]
+    texts = [" ".join(f"the {x} runs" for x in of(0)) if n % 2 else " ".join(f"to {x} it" for x in of(1)) for n in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (6, 1 << 14):
+        monkeypatch.setattr(brown, "HEAD", most)
+        chunks = brown._chunks(docs, "doc_id", "text", 4).localCheckpoint()
+        vocabulary = brown.train(chunks, brown.stored(brown._vocabulary(chunks, 4), "vocabulary"), 4)
+        classes = {np.uint64(r["word"] & (2**64 - 1)): r["class"] for r in brown._words(vocabulary).collect()}
+        assert len(classes) == 405
+        hashed = lambda w: brown.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), brown._inside)[0][0]
+        kinds = [{classes[hashed(p[k])] for p in pairs} for k in (0, 1)]
+        assert not kinds[0] & kinds[1] and max(map(len, kinds)) <= 3
+
+
 def test_exchange_parts_what_stands_apart():
     """Two sets of slots that only follow their own kind end in different classes."""
     before, after = np.zeros((brown.SLOTS, brown.CLASSES), np.int64), np.zeros((brown.SLOTS, brown.CLASSES), np.int64)
