@@ -28,9 +28,10 @@ LABELLED = 20_000
 SLOTS = 1 << 20
 #: Documents that each slot is given in both models.
 PRIOR = 1.0
-#: An n-gram counts from this likelihood ratio statistic between good and bad on, and only
-#: where it stands in so many labelled documents.
-EVIDENCE, LEAST = 20.0, 4
+#: An n-gram counts where its likelihood ratio statistic between good and bad is at least this
+#: many times the log of the number of documents the models are fitted to, and only where it
+#: stands in so many of them.
+EVIDENCE, LEAST = 2.0, 4
 #: Chances to be taken go as the weight to the power 1 / TEMPERATURE; low, so that good
 #: documents do not give way to bad ones by chance.
 TEMPERATURE = 0.1
@@ -129,7 +130,7 @@ def _ratios(target: np.ndarray, raw: np.ndarray, bad: np.ndarray, n_good: int, n
         weight = np.cumsum(target[often][order])
         expected = expected * np.exp(ratio[order][np.searchsorted(weight, weight[-1] / 2)])
     ratios = np.log((target + prior) / (expected + prior))
-    counts = n_bad and _evidence(target, bad, n_good, n_bad) >= EVIDENCE
+    counts = n_bad and _evidence(target, bad, n_good, n_bad) >= EVIDENCE * np.log(n_good + n_bad)
     return np.where(counts, ratios, 0.0).astype(np.float32)
 
 

@@ -110,6 +110,23 @@ def test_classifier(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, ok in got.items() if ok}
 
 
+def test_classifier_with_few_labels(spark):
+    """Telling words too few for a fixed likelihood ratio statistic of 20 still part the texts."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(90):
+        words = [f"w{r.randrange(400)}" for _ in range(30)]
+        if i % 6 == 1:
+            for k in (i // 6 % 5, (i // 6 + 1) % 5):
+                words.insert(r.randrange(30), f"slur{k}")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 6 == 1)))
+    docs, labels = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.accepted for x in quality.classify(docs, labels).collect()}
+    assert np.mean([got[i] for i in range(90) if i % 6 == 1]) < 0.3
+    assert np.mean([got[i] for i in range(90) if i % 6 != 1]) > 0.97
+
+
 def test_classifier_without_labels(spark):
     docs, labels, n = labelled(spark, 20)
     assert quality.classify(docs, labels.filter("false")).filter("accepted").count() == docs.count()
