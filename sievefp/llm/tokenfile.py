@@ -38,6 +38,7 @@ from sievefp.llm.warc import filesystem
 
 BLOCK = 4096
 LANES = 1024
+#: Bit lengths the order-0 model knows: ids + 1 have at most so many bits.
 LENGTHS = 17
 _MAGIC, _END = b"SFTK0001", b"SFTKEND1"
 _TOP, _BOTTOM = 1 << 24, 1 << 16
@@ -188,7 +189,11 @@ def _still(lengths: np.ndarray, step: int) -> int:
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
-    """(number of ids, crc32, bytes) of each block of block ids (the last may be shorter)."""
+    """(number of ids, crc32, bytes) of each block of block ids (the last may be shorter).
+
+    Ids are 0 to 2^17 - 2; ValueError if any other is among them."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < (1 << LENGTHS) - 1:
+        raise ValueError(f"token ids must be from 0 to {(1 << LENGTHS) - 2}")
     lanes = -(-len(ids) // block)
     grid = np.zeros(lanes * block, np.int64)
     grid[: len(ids)] = ids

@@ -257,6 +257,14 @@ def test_coder_round_trip(n):
             tokenfile.unpack([(k, crc ^ 1, data)])
 
 
+def test_coder_states_its_bound():
+    ids = np.array([131_070, 0, 131_069])
+    assert (tokenfile.unpack(tokenfile.pack(ids)) == ids).all()
+    for bad in (131_071, 1 << 31, -1):
+        with pytest.raises(ValueError, match="131070"):
+            tokenfile.pack(np.array([5, bad]))
+
+
 def test_coder_learns():
     ids = np.tile(np.array([5, 900, 17, 40000]), 1000)
     assert sum(len(d) for _, _, d in tokenfile.pack(ids)) < 700
