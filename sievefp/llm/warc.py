@@ -267,7 +267,7 @@ def archive_digests(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     segments = write_archives(mark_revisits(pages), new_path(spark, "warc"))
-    rows = read_chunks(spark, segments, chunks=False)
+    rows = read_chunks(spark, segments).filter("last")
     response = F.col("record_type") == "response"
     sound = ~response | ((F.col("sha256_so_far") == F.col("header_digest")) & (F.col("bytes_so_far") == F.col("header_bytes")))
     page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)

@@ -30,6 +30,14 @@ def test_archives(spark):
     assert warc.archive_digests(pages(spark, []).filter("false")).count() == 0
 
 
+def test_archive_digests_read_the_chunk_rows(spark, monkeypatch):
+    read, tables = warc.read_chunks, []
+    monkeypatch.setattr(warc, "read_chunks", lambda *a, **b: tables.append(read(*a, **b)) or tables[-1])
+    text = "0123456789" * 100_000
+    assert warc.archive_digests(pages(spark, [(1, "u", text)])).count() == 1
+    assert b"".join(bytes(r.chunk) for r in tables[0].orderBy("chunk_no").collect()) == text.encode()
+
+
 def test_chunks_carry_digests(spark):
     text = "0123456789" * 100_000
     marked = warc.mark_revisits(pages(spark, [(1, "u", text)]))
