@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import stored, text_key
+from sievefp.llm.common import drop, fresh, named, stored, text_key
 
 
 def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", window: int = 3) -> DataFrame:
@@ -21,12 +21,11 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", window:
     Lines end at line feeds.  Texts of fewer lines than a window, null and empty ones stay
     as they are (a null text has no lines); windows of blank lines only are not counted.
     Rows that repeat id and text are one document and share its result; a null id sorts
-    first.  A text whose lines all go becomes empty.  All other columns are kept; those
-    called n_lines or n_removed are replaced.
+    first.  A text whose lines all go becomes empty.  All other columns are kept, whatever
+    their names; those called n_lines or n_removed are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", text)]
-    lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    keyed = docs.select(F.col(f"`{id}`").alias("_id"), text_key(f"`{text}`").alias("_key"), lines.alias("_lines"))
+    keyed = docs.select(named(id).alias("_id"), text_key(text).alias("_key"), F.split(named(text), "\n", -1).alias("_lines"))
     starts = F.sequence(F.lit(0), F.size("_lines") - window)
     joined = lambda i: F.array_join(F.slice(F.col("_lines"), i + 1, F.lit(window)), "\n")
     windows = (
@@ -52,20 +51,26 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", window:
         .filter("_from < _to")
         .select("_id", "_key", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_line"))
         .groupBy("_id", "_key")
-        .agg(F.collect_set("_line").alias("_gone"))
+        .agg(F.sort_array(F.collect_set("_line")).alias("_lost"))
     )
-    gone = stored(covered, "lines-gone").withColumnsRenamed({"_id": "_gid", "_key": "_gkey"})
-    every = docs.withColumn("_key", text_key(f"`{text}`"))
+    # a byte for each line up to the last that goes, so that looking one up takes no search
+    run = lambda line, k: F.concat(F.repeat(F.lit("0"), line - F.coalesce(F.get("_lost", k - 1), F.lit(-1)) - 1), F.lit("1"))
+    masks = covered.select("_id", "_key", F.size("_lost").alias("_many"), F.array_join(F.transform("_lost", run), "").cast("binary").alias("_gone"))
+    gid, gkey, many, gone, key = fresh(docs, "_gid", "_gkey", "_many", "_gone", "_key")
+    marked = stored(masks, "lines-gone").withColumnsRenamed({"_id": gid, "_key": gkey, "_many": many, "_gone": gone})
+    drop(repeated)
+    every = docs.withColumn(key, text_key(text))
     # always shuffled: the same plan at every size, with no broadcast that works for small corpora only
-    matched = every.hint("merge").join(gone, F.col(f"`{id}`").eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey")), "left")
-    n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    matched = every.hint("merge").join(marked, named(id).eqNullSafe(named(gid)) & (named(key) == named(gkey)), "left")
+    lines = F.split(named(text), "\n", -1)
+    n = F.when(named(text).isNull(), 0).otherwise(F.size(lines))
+    # the lambda takes each line and its place, so the text is split once
+    rest = F.array_join(F.filter(lines, lambda line, i: named(gone).substr(i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     return matched.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(rest).alias(text),
+        *[named(c) for c in kept],
+        F.when(named(gone).isNull(), named(text)).otherwise(rest).alias(text),
         n.cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.coalesce(named(many), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
