@@ -1,40 +1,42 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed uni- and bigrams are compared: the target's, from labelled
-good documents, and the raw text's, from all documents; both count in how many documents an
-n-gram stands.  A document's log weight is the sum of the log ratios of its distinct n-grams.
-Only n-grams that part the labelled good from the labelled bad count, so that text which is
-merely rare or often copied is no evidence.  Documents are resampled by Gumbel top-k: to each
-log weight a Gumbel variate times a temperature is added, and the k largest are taken, k being the number of
-documents that reach the cut which parts held-out labelled good from bad.
-
-The target, the choice of n-grams and the cut come from at most ``labelled`` labelled
-documents, a quarter of them held out for the cut; the raw model, the weights and the
-selection cover all documents.
+good documents, and the raw text's, from all documents.  Both give each slot of a hash table
+the probability that a document holds an n-gram of it, and are normalised by their numbers of
+documents.  A document's log weight is the log of the ratio of its probabilities under both,
+up to a constant that all documents share: the sum of the log odds ratios of its distinct
+n-grams.  Every n-gram counts.  The target's estimates are shrunk towards the raw model's: a
+log ratio is taken times the probability, given how often the n-gram stands in labelled good
+and bad documents, that the n-gram tells them apart at all.  So text that is merely rare or
+often copied moves a weight by next to nothing.
+
+Documents are resampled by Gumbel top-k: a standard Gumbel variate is added to each log
+weight, and the k largest are taken, which draws k documents without replacement in
+proportion to their weights.  k is a parameter; if it is not given, labels set it: it is the
+number of documents whose weight reaches the cut that parts held-out labelled good from bad.
+
+The target, the shrinkage and the cut come from at most ``labelled`` labelled documents, a
+quarter of them held out for the cut; the raw model, the weights and the selection cover all
+documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import U64, Hasher, extended, mix, slabs, stored, summed_counts
+from sievefp.llm.common import U64, Hasher, drop, fresh, mix, named, slabs, stored, summed_counts
 from sievefp.llm.common import _lower as LOWER
 
 #: Most labelled documents the fit and the cut are made from; also what is broadcast.
 LABELLED = 20_000
 SLOTS = 1 << 20
-#: Documents that each slot is given in both models.
+#: Documents that each slot is given in both models, with and without its n-gram.
 PRIOR = 1.0
-#: An n-gram counts where its likelihood ratio statistic between good and bad is at least this
-#: many times the log of the number of documents the models are fitted to, and only where it
-#: stands in so many of them.
-EVIDENCE, LEAST = 2.0, 4
-#: Chances to be taken go as the weight to the power 1 / TEMPERATURE; low, so that good
-#: documents do not give way to bad ones by chance.
-TEMPERATURE = 0.1
 #: A good document that is rejected counts as much as this many bad ones that are kept.
 KEEP_CARE = 3.0
 
@@ -92,11 +94,11 @@ def _labels(labels: DataFrame, id: str, most: int) -> DataFrame:
 
 def _with_labels(docs: DataFrame, labels: DataFrame, id: str) -> DataFrame:
     # at most LABELLED rows of an id and two flags
-    return docs.join(F.broadcast(labels), F.col(id) == F.col("_lid"), "left")
+    return docs.join(F.broadcast(labels), named(id) == F.col("_lid"), "left")
 
 
 class Model:
-    """Log ratios by slot; ``cut`` is the weight from which a document counts as good."""
+    """Log odds ratios by slot; ``cut`` is the weight from which a document counts as good."""
 
     def __init__(self, ratio: np.ndarray, cut: float = -np.inf):
         self.ratio, self.cut = ratio, cut
@@ -110,58 +112,81 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def _evidence(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> np.ndarray:
-    """The likelihood ratio statistic of each slot's share of good and of bad documents."""
-    both = good + bad
+def telling(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> np.ndarray:
+    """The probability of each slot to part good from bad documents.
+
+    The log odds are half the likelihood ratio statistic of the shares of good and of bad
+    documents less the log of the number of documents: half of that is the penalty of one more
+    parameter, half the odds before any are seen."""
+    n, both = max(n_good + n_bad, 1), good + bad
 
-    def part(seen, n):
-        return seen * np.log(np.maximum(seen, 1e-9) * (n_good + n_bad) / (np.maximum(both, 1) * n))
+    def part(seen, expected):
+        return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
 
-    return np.where(both >= LEAST, 2 * (part(good, n_good) + part(bad, n_bad)), 0.0)
+    half = 0.0
+    for held, of in ((good, n_good), (bad, n_bad)):
+        lack = np.maximum(of - held, 0)
+        half = half + part(held, both * of / n) + part(lack, np.maximum(n - both, 0) * of / n)
+    return 1 / (1 + np.exp(np.clip(np.log(n) - half, -50, 50)))
 
 
-def _ratios(target: np.ndarray, raw: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int, prior: float) -> np.ndarray:
-    expected = raw * (target.sum() / max(raw.sum(), 1))
+def log_ratios(target: np.ndarray, raw: np.ndarray, bad: np.ndarray, n_target: int, n_raw: int, n_bad: int, prior: float = PRIOR) -> np.ndarray:
+    """The shrunk log odds ratio of each slot, from the numbers of documents that hold it."""
+    if not n_target or not n_raw:
+        return np.zeros(len(raw), np.float32)
+    expected = raw * (n_target / n_raw)
     # good text is more common in the target than in all text: the median ratio is made 0
     often = (expected > 5) & (target > 0)
     if often.any():
         ratio = np.log(target[often] / expected[often])
-        order = np.argsort(ratio)
+        order = np.argsort(ratio, kind="stable")
         weight = np.cumsum(target[often][order])
-        expected = expected * np.exp(ratio[order][np.searchsorted(weight, weight[-1] / 2)])
-    ratios = np.log((target + prior) / (expected + prior))
-    counts = n_bad and _evidence(target, bad, n_good, n_bad) >= EVIDENCE * np.log(n_good + n_bad)
-    return np.where(counts, ratios, 0.0).astype(np.float32)
+        expected = np.minimum(expected * np.exp(ratio[order][np.searchsorted(weight, weight[-1] / 2)]), n_target)
+    odds = lambda x: np.log((x + prior) / (n_target - x + prior))
+    target = np.minimum(target, n_target)
+    return ((odds(target) - odds(expected)) * telling(target, bad, n_target, n_bad)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", labelled: int = LABELLED, slots: int = SLOTS, prior: float = PRIOR) -> Model:
-    """The model of labelled good against all documents.
-
-    Labels: id, quality (1 good), toxic (1 bad; null counts as 0); rows with a null id or
-    quality are left out, and of repeated ones the worst counts.  Without labelled good
-    documents all ratios are 0, and without bad ones there is no cut: every document is kept.
-    """
-    known = stored(_labels(labels, id, labelled), "labelled")
-    columns = _with_labels(docs.select(F.col(id), F.col(text)), known, id).select(text, "_good", "_fit")
+def _counter(slots: int):
+    """Numbers of documents by slot: raw of all, target and bad of the labelled ones to fit to."""
 
     def count(batches):
         for batch in batches:
             kind = [0 if g is None or not f else 1 if g else 2 for g, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             kind = np.array(kind, np.int8)
+            held, size = {"raw": [], "target": [], "bad": []}, 0
             for a, b, data, offsets in slabs(batch.column(0)):
                 rows, found = ngram_slots(data, offsets, slots)
-                kinds = kind[a:b]
-                yield {"raw": np.bincount(found, minlength=slots)}
+                found = found.astype(np.int32)
+                held["raw"].append(found)
                 for name, k in (("target", 1), ("bad", 2)):
-                    if (kinds == k).any():
-                        yield {name: np.bincount(found[kinds[rows] == k], minlength=slots)}
+                    if (kind[a:b] == k).any():
+                        held[name].append(found[kind[a:b][rows] == k])
+                size += len(found)
+                if size > 1 << 21:
+                    yield {n: np.bincount(np.concatenate(x), minlength=slots) for n, x in held.items() if x}
+                    held, size = {"raw": [], "target": [], "bad": []}, 0
+            yield {n: np.bincount(np.concatenate(x), minlength=slots) for n, x in held.items() if x}
+
+    return count
 
-    sums = summed_counts(columns, count, slots, ["raw", "target", "bad"])
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", labelled: int = LABELLED, slots: int = SLOTS, prior: float = PRIOR) -> Model:
+    """The model of labelled good against all documents.
+
+    Labels: id, quality (1 good), toxic (1 bad; null counts as 0); rows with a null id or
+    quality are left out, and of repeated ones the worst counts.  Without labelled good
+    documents all ratios are 0, and without bad ones there is no cut: every document is kept.
+    """
+    known = stored(_labels(labels, id, labelled), "labelled")
+    columns = _with_labels(docs.select(named(id).alias(id), named(text).alias(text)), known, id).select(named(text), "_good", "_fit")
+    sums = summed_counts(columns, _counter(slots), slots, ["raw", "target", "bad"])
     seen = {(r["_good"], r["_fit"]): r["count"] for r in known.groupBy("_good", "_fit").count().collect()}
-    model = Model(_ratios(sums["target"], sums["raw"], sums["bad"], seen.get((True, True), 0), seen.get((False, True), 0), prior))
-    if not model.ratio.any():
+    ratio = log_ratios(sums["target"], sums["raw"], sums["bad"], seen.get((True, True), 0), docs.count(), seen.get((False, True), 0), prior)
+    model = Model(ratio)
+    if not (seen.get((True, False)) and seen.get((False, False)) and seen.get((False, True))):
         return model
-    shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches):
         plain = Model(shared.value)
@@ -169,8 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(plain.weights(batch.column(0))), batch.column(1)], ["w", "good"])
 
     # at most as many rows as labelled documents (and rows that repeat their ids)
-    held = columns.filter("_good is not null and not _fit").select(text, "_good").mapInArrow(score, "w double, good boolean")
+    held = columns.filter("_good is not null and not _fit").select(named(text), "_good").mapInArrow(score, "w double, good boolean")
     held = held.groupBy(F.round("w", 3).alias("w"), "good").count().toPandas()
+    drop(known)
     w, good, n = held["w"].to_numpy(float), held["good"].to_numpy(bool), held["count"].to_numpy(float)
     if good.any() and not good.all():
         model.cut = _best_cut(w, good, n)
@@ -189,22 +215,25 @@ def _best_cut(w: np.ndarray, good: np.ndarray, n: np.ndarray) -> float:
     return float((w[best] + w[min(best + 1, len(w) - 1)]) / 2)
 
 
+def gumbel(id: str, seed: int):
+    """A standard Gumbel variate of each id; the same for the same id and seed."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), named(id)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(u))
+
+
 def weigh(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", weight: str = "log_weight", key: str = "sample_key", seed: int = 7) -> DataFrame:
-    """docs with log_weight and sample_key, the weight plus a Gumbel variate, by id and seed,
-    times the temperature."""
-    names = [c for c in docs.columns if c not in (weight, key)]
-    at = names.index(text)
+    """docs with log_weight and sample_key, the weight plus a Gumbel variate by id and seed.
+
+    Only texts go to Python.  Columns that have the two names already are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
 
-    def run(batches):
+    def weights(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         plain = Model(shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plain.weights(batch.column(at)))], [*names, weight])
+        for some in texts:
+            yield pa.array(plain.weights(some), pa.float64())
 
-    base = docs.select(*[F.col(f"`{c}`") for c in names])
-    weighed = base.mapInArrow(run, extended(base, weight, "double"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id}`")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return weighed.withColumn(key, F.col(weight) - F.lit(TEMPERATURE) * F.log(-F.log(u)))
+    with_weight = docs.withColumn(weight, F.arrow_udf(weights, "double")(named(text)))
+    return with_weight.withColumn(key, named(weight) + gumbel(id, seed))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, small: int = 4096) -> float:
@@ -232,29 +261,35 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, small: int
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
     """id, log_weight, accepted for every row of docs.
 
     Accepted are the k rows with the largest sample_key (rows that tie with the last one
-    too), k being the number of rows whose log weight reaches the model's cut.  Null, empty
-    and blank texts weigh 0.
+    too); without k, as many as there are rows whose log weight reaches the model's cut.
+    Null, empty and blank texts weigh 0.  Rows that repeat an id share its variate.
     """
     model = fit(docs, labels, id, text)
-    keys = stored(weigh(docs.select(F.col(id), F.col(text)), model, id, text).drop(text), "weights")
-    limit = threshold(keys, model)
-    return keys.select(id, "log_weight", (F.col("sample_key") >= F.lit(limit)).alias("accepted"))
-
-
-def threshold(keys: DataFrame, model: Model) -> float:
-    if model.cut == -np.inf:
+    narrow = docs.select(named(id).alias("_id"), named(text).alias("_text"))
+    keys = stored(weigh(narrow, model, "_id", "_text").drop("_text"), "weights")
+    limit = threshold(keys, model, k=k)
+    return keys.select(F.col("_id").alias(id), "log_weight", (F.col("sample_key") >= F.lit(limit)).alias("accepted"))
+
+
+def threshold(keys: DataFrame, model: Model, weight: str = "log_weight", key: str = "sample_key", k: int | None = None) -> float:
+    """The least sample key that is accepted."""
+    if k is None:
+        if model.cut == -np.inf:
+            return float("-inf")
+        k = keys.filter(named(weight) >= F.lit(model.cut)).count()
+    elif k >= keys.count():
         return float("-inf")
-    return kth_largest(keys, "sample_key", keys.filter(F.col("log_weight") >= F.lit(model.cut)).count())
+    return kth_largest(keys, key, k)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that classify accepts, with the columns of docs."""
+def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
+    """The rows of docs that classify accepts, with the columns of docs, whatever their names."""
     model = fit(docs, labels, id, text)
-    slim = weigh(docs.select(F.col(id), F.col(text)), model, id, text, "_weight", "_sample").drop(text)
-    keys = stored(slim.withColumnsRenamed({"_weight": "log_weight", "_sample": "sample_key"}), "weights")
-    limit = threshold(keys, model)
-    return weigh(docs, model, id, text, "_weight", "_sample").filter(F.col("_sample") >= F.lit(limit)).drop("_weight", "_sample")
+    weight, key = fresh(docs, "_weight", "_sample")
+    weighed = stored(weigh(docs, model, id, text, weight, key), "weighed")
+    limit = threshold(weighed, model, weight, key, k)
+    return weighed.filter(named(key) >= F.lit(limit)).drop(weight, key)
