@@ -6,7 +6,10 @@ byte table and hashed with prefix sums of a polynomial, so no Python loop runs p
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -18,36 +21,62 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 U64 = np.uint64
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_OWN_SHARED = "/tmp/checkpoints/sievefp"
+_cleaning = {"lock": threading.Lock(), "writers": 0, "before": "false"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_OWN_SHARED)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder of spark.checkpoint.dir.  Only a local master may leave it unset: then it is
+    a temporary folder of this machine; on a cluster that is an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievefp-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """While any write runs, Spark removes the shuffle files of plans that have ended."""
+    with _cleaning["lock"]:
+        if not _cleaning["writers"]:
+            _cleaning["before"] = spark.conf.get(_CLEAN, "false")
+            spark.conf.set(_CLEAN, "true")
+        _cleaning["writers"] += 1
+    try:
+        yield
+    finally:
+        with _cleaning["lock"]:
+            _cleaning["writers"] -= 1
+            if not _cleaning["writers"]:
+                spark.conf.set(_CLEAN, _cleaning["before"])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: df written as a Parquet table in the shared folder and read again.
 
     Once it is written nothing reads its shuffle files any more, so Spark may remove them.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables that ``stored`` has written and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,19 +88,52 @@ def extended(df: DataFrame, name: str, kind: str) -> StructType:
     return StructType([*df.schema.fields, StructField(name, _parse_datatype_string(kind))])
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of our own that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str):
+    """The column of exactly this name, whatever dots it holds."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_key(text: str = "text"):
     """Tells rows of one doc_id apart; rows that repeat id and text count as one document."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+    return F.xxhash64(F.coalesce(named(text), F.lit("")), named(text).isNull())
+
+
+#: Slots of the table that tells which documents can be left out of a join.
+_DOC_SLOTS = 1 << 20
+
+
+def with_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (id, _key, ...) joined with wanted (_wid, _wkey, ...) by document.
+
+    A broadcast set of hash slots, of fixed size whatever the tables hold, keeps most other
+    documents out of the shuffle while wanted is small; beyond, the join does all the work."""
+    slot = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(_DOC_SLOTS)).alias("_slot")
+    slots = wanted.select(slot("_wid", "_wkey")).distinct()
+    near = docs.withColumn("_slot", slot("id", "_key")).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    return near.hint("merge").join(wanted, F.col("id").eqNullSafe(F.col("_wid")) & (F.col("_key") == F.col("_wkey")))
 
 
 # ---------------------------------------------------------------- bytes and words
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-_SLAB = 1 << 21
+#: Bytes that are worked on at once; longer words have a hash of their own kind.
+_SLAB = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -159,7 +221,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slabs(column: pa.Array, most: int = _SLAB):
-    """Consecutive rows of about 2 MB: (first row, row after the last, bytes, offsets)."""
+    """Consecutive rows of about 256 KB: (first row, row after the last, bytes, offsets)."""
     data, offsets = utf8(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:

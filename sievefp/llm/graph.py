@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import stored
+from sievefp.llm.common import drop, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node that edges (a, b) of longs lead to, for every node in them.
 
     Each step hangs nodes on smaller neighbours; the number of steps grows with the logarithm
-    of the longest path, and no node's edges ever meet in one row.
+    of the longest path.  No node's edges are gathered in one row, and minima are taken before
+    the shuffle; the joins on a node with many edges are plain ones that AQE splits.
     """
     stars = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -22,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
+        before, stars = stars, stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
+        drop(before)
         # done when each node hangs on one centre and no centre hangs on another node
         if stars.groupBy("u").count().filter("count > 1").isEmpty() and stars.join(stars.select(F.col("u").alias("c")), F.col("v") == F.col("c"), "left_semi").isEmpty():
             break

@@ -1,18 +1,20 @@
 """N-gram Jaccard self-join: documents whose sets of word shingles are similar.
 
-Sets are ordered rarest shingle first.  Rarity is taken from counts over all documents in a
-table of fixed size (shingles share its slots; any order that all sets agree on is right, a
-rarer-first one is fast).  Documents with equal sets are one representative.  Two similar
-sets share a shingle among the first few of both (prefix filter); a pair that shares one is
-looked at only if lengths (length filter) and the shared shingle's places (positional
-filter) leave enough room for the overlap.  Pairs are verified once each on the sets: first
-by bounds from cutting both at the same shingles (suffix filter), then exactly.
+Sets are ordered rarest shingle first.  A shingle is as rare as its rarest word, by counts of
+words over all documents in a table of fixed size (words share its slots; any order that all
+sets agree on is right, a rarer-first one is fast).  Equal sets are one: they are told apart
+by 64-bit digests.  Two similar sets share a shingle among the first few of both (prefix
+filter); a pair that shares one is looked at only if lengths (length filter) and the shared
+shingle's places (positional filter) leave enough room for the overlap, and if the sizes of
+the sets' parts in the hash range do (suffix filter).  Pairs are verified once each on the
+whole sets, made again from the texts.
 
 What is returned are components, so a pair whose documents are already connected need not be
-verified.  Within the documents that share a prefix shingle, first some rounds compare all
-with one of them; the pairs that are still between different components, and that part sizes
-do not rule out, are then all verified.  A large group of near copies thus takes few comparisons a document, and no link
-between components is missed.
+verified.  Of the documents that share a prefix shingle, each round compares one, the hub,
+with all others and then leaves it out; shingles whose documents are connected, or of which
+one document is left, drop out.  After HUB_ROUNDS all pairs of what is left that are still
+between different components are verified.  A large group of near copies thus takes few
+comparisons a document, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -24,54 +26,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import SPACES, U64, byte_table, extended, mix, shuffles, slabs, stored, summed_counts, text_key, word_hashes
+from sievefp.llm.common import SPACES, U64, byte_table, drop, fresh, mix, named, shuffles, slabs, stored, summed_counts, text_key, with_documents, word_hashes
 from sievefp.llm.graph import components
 
 RARITY_SLOTS = 1 << 20
-HUB_ROUNDS = 2
-#: Parts of the hash range whose sizes bound an overlap in the last round's join.
+HUB_ROUNDS = 4
+#: Parts of the hash range whose sizes bound an overlap.
 PARTS = 64
 _K = U64(0xD6E8FEB86659FD93)
 _inside = byte_table(SPACES)
 
 
-def shingle_sets(column: pa.Array, size: int):
-    """The sorted distinct shingle hashes of each text, one array a row."""
+def shingle_sets(column: pa.Array, size: int, counts: np.ndarray | None = None):
+    """The sorted distinct shingle hashes of each text, one array a row; with counts of words,
+    (hashes, count of the rarest word of each)."""
     for _, _, data, offsets in slabs(column):
-        hashes, counts = word_hashes(data, offsets, _inside)
+        hashes, words = word_hashes(data, offsets, _inside)
+        seen = None if counts is None else counts[(hashes & U64(len(counts) - 1)).astype(np.int64)]
         if len(hashes) >= size:
-            rolled = hashes[: len(hashes) - size + 1].copy()
+            to = len(hashes) - size + 1
+            rolled, rarest = hashes[:to].copy(), None if seen is None else seen[:to].copy()
             for j in range(1, size):
-                rolled = rolled * _K + hashes[j : len(hashes) - size + 1 + j]
+                rolled = rolled * _K + hashes[j : to + j]
+                if rarest is not None:
+                    np.minimum(rarest, seen[j : to + j], out=rarest)
             rolled = mix(rolled, size)
         start = 0
-        for n in counts.tolist():
+        for n in words.tolist():
             if n >= size:
-                yield np.unique(rolled[start : start + n - size + 1])
+                own = slice(start, start + n - size + 1)
+                if counts is None:
+                    yield np.unique(rolled[own])
+                else:
+                    found, first = np.unique(rolled[own], return_index=True)
+                    yield found, rarest[own][first]
             elif n:
                 value = hashes[start : start + 1]
                 for j in range(1, n):
                     value = value * _K + hashes[start + j : start + j + 1]
-                yield mix(value, n)  # the whole sequence, with its own seed for each length
+                value = mix(value, n)  # the whole sequence, with its own seed for each length
+                yield value if counts is None else (value, seen[start : start + n].min(keepdims=True))
             else:
-                yield np.empty(0, U64)
+                yield np.empty(0, U64) if counts is None else (np.empty(0, U64), np.empty(0, counts.dtype))
             start += n
 
 
-def _rarity(docs: DataFrame, text: str, size: int) -> np.ndarray:
+def _word_counts(docs: DataFrame, text: str) -> np.ndarray:
+    """How often words of each slot stand in all documents."""
+
     def count(batches):
+        held, n = [], 0
+        tally = lambda: {"n": np.bincount(np.concatenate(held), minlength=RARITY_SLOTS)}
         for batch in batches:
-            held, n = [], 0
-            for s in shingle_sets(batch.column(0), size):
-                held.append(s)
-                n += len(s)
+            for _, _, data, offsets in slabs(batch.column(0)):
+                hashes, _ = word_hashes(data, offsets, _inside)
+                held.append((hashes & U64(RARITY_SLOTS - 1)).astype(np.int32))
+                n += len(hashes)
                 if n > 1 << 21:
-                    yield {"n": np.bincount((np.concatenate(held) & U64(RARITY_SLOTS - 1)).astype(np.int64), minlength=RARITY_SLOTS)}
+                    yield tally()
                     held, n = [], 0
-            if held:
-                yield {"n": np.bincount((np.concatenate(held) & U64(RARITY_SLOTS - 1)).astype(np.int64), minlength=RARITY_SLOTS)}
+        if held:
+            yield tally()
 
-    counts = summed_counts(docs.select(F.col(text)), count, RARITY_SLOTS, ["n"])["n"]
+    counts = summed_counts(docs.select(named(text)), count, RARITY_SLOTS, ["n"])["n"]
     return np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
 
 
@@ -80,45 +97,39 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _signatures(docs: DataFrame, rarity: np.ndarray, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """id, _key, n, fp (a digest of the set), prefix (its rarest shingles, rarest first)
-    and parts (how many members fall in each part of the hash range)."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+def _signatures(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+    """For docs (id, _key, text): id, _key, n, rid (a digest of the set; null if it is empty),
+    prefix (its rarest shingles, rarest first) and parts (how many members fall in each part
+    of the hash range).  prefix and parts are null where the task gave the same set before."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        counts = shared.value
+        before: set[int] = set()
         for batch in batches:
-            n, digest, ends, prefix, parts = [], [], [0], [], []
-            for s in shingle_sets(batch.column(2), size):
+            n, digests, ends, prefix, parts = [], [], [], [np.empty(0, np.int64)], []
+            at = 0
+            for s, seen in shingle_sets(batch.column(2), size, shared.value):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                if len(s):
+                digest = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+                digests.append(digest)
+                if len(s) and digest not in before:
+                    before.add(digest)
                     keep = len(s) - least_overlap(len(s), percent) + 1
-                    seen = counts[(s & U64(RARITY_SLOTS - 1)).astype(np.int64)]
                     prefix.append(s[np.lexsort((s, seen))[:keep]].view(np.int64))
-                ends.append(ends[-1] + (len(prefix[-1]) if len(s) else 0))
-                parts.append(np.minimum(np.bincount((s >> U64(58)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
-            values = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(parts, pa.list_(pa.int16()))], ["id", "_key", "n", "fp", "prefix", "parts"])
-
-    base = docs.select(F.col(id).alias("id"), text_key(text).alias("_key"), F.col(text).alias("text"))
-    kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"id {kind}, _key long, n long, fp binary, prefix array<long>, parts array<short>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int, many: bool) -> DataFrame:
-    """rid, words (the sorted set as bytes) of the wanted (rid, fp, id, _key)."""
-    base = docs.select(F.col(id).alias("_id"), text_key(text).alias("_dkey"), F.col(text).alias("text"))
-    base = base.hint("merge") if many else base
-    rows = base.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_dkey") == F.col("_key"))).select("rid", "text")
-
-    def run(batches):
-        for batch in batches:
-            made = [s.tobytes() for s in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rid", "words"])
-
-    return stored(rows.mapInArrow(run, "rid long, words binary"), "sets")
+                    ends.append(at)
+                    at += keep
+                    parts.append(np.minimum(np.bincount((s >> U64(58)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
+                else:
+                    ends.append(None)
+                    parts.append(None)
+            lists = pa.ListArray.from_arrays(pa.array([*ends, at], pa.int32()), pa.array(np.concatenate(prefix)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.int64()), lists, pa.array(parts, pa.list_(pa.int16()))],
+                ["id", "_key", "n", "rid", "prefix", "parts"],
+            )
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, _key long, n long, rid long, prefix array<long>, parts array<short>")
 
 
 def _bound(x: np.ndarray, y: np.ndarray, cuts: int = 16) -> int:
@@ -142,30 +153,34 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return enough(int((y[at] == x).sum()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar.  The sets of all b stream past that of their a, in
-    shares of some hundred, so that no a gathers more than that in one place."""
+def _verified(docs: DataFrame, pairs: DataFrame, where: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar, from docs (id, _key, text) and where a set stands
+    (rid, id, _key).  The texts of all b stream past that of their a, in shares of some
+    hundred, so that no a gathers more than that in one place."""
     share = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), (F.col("many") / 256).cast("long")))
     many = pairs.groupBy("a").agg(F.count("*").alias("many"))
-    dealt = stored(pairs.join(many, "a").select("a", "b", share.alias("share")), "dealt")
+    dealt = pairs.join(many, "a").select("a", "b", share.alias("share"))
     own = dealt.select("a", "share").distinct().select("a", "share", F.col("a").alias("b"))
-    with_sets = own.unionByName(dealt.select("a", "share", "b")).join(sets, F.col("b") == F.col("rid")).select("a", "share", (F.col("a") != F.col("b")).alias("other"), "b", "words")
-    spread = with_sets.repartition(shuffles(pairs.sparkSession), "a", "share").sortWithinPartitions("a", "share", "other")
+    roles = own.unionByName(dealt.select("a", "share", "b")).join(where, F.col("b") == F.col("rid"))
+    roles = stored(roles.select("a", "share", (F.col("a") != F.col("b")).alias("other"), "b", F.col("id").alias("_wid"), F.col("_key").alias("_wkey")), "roles")
+    texts = with_documents(docs, roles).select("a", "share", "other", "b", "text")
+    spread = texts.repartition(shuffles(pairs.sparkSession), "a", "share").sortWithinPartitions("a", "share", "other")
 
     def run(batches):
         own = None
         for batch in batches:
             a, b = [], []
-            for x, y, other, words in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4)):
-                made = np.frombuffer(words.as_buffer(), U64)
+            for x, y, other, made in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(4), size)):
                 if not other:
-                    own = made.copy()
+                    own = made
                 elif similar(own, made, percent):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    found = stored(spread.mapInArrow(run, "a long, b long").distinct(), "links")
+    drop(roles)
+    return found
 
 
 def _roomy(n1, at1, n2, at2, percent: int):
@@ -184,6 +199,57 @@ def _parts_agree(n1, parts1, n2, parts2, percent: int):
     return overlap * 100 >= (n1 + n2 - overlap) * percent
 
 
+def _open(pairs: DataFrame, tried: DataFrame | None, shapes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that were not verified yet and that part sizes do not rule out."""
+    pairs = pairs.distinct()
+    pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    of = lambda p: shapes.select(F.col("rid").alias(p), F.col("n").alias(f"n_{p}"), F.col("parts").alias(f"parts_{p}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return stored(both.filter(_parts_agree(F.col("n_a"), F.col("parts_a"), F.col("n_b"), F.col("parts_b"), percent)).select("a", "b").distinct(), "pairs")
+
+
+def _connected(docs: DataFrame, signed: DataFrame, where: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """node, comp: the components of all rids that link with any other; None if none does."""
+    given = signed.filter("prefix is not null")
+    shapes = given.select("rid", "n", "parts")
+    postings = given.select("rid", "n", F.posexplode("prefix").alias("at", "shingle"))
+    common = stored(postings.groupBy("shingle").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo <> hi").select("shingle"), "shingles-shared")
+    places = stored(postings.hint("merge").join(common, "shingle").select("rid", "n", "at", "shingle"), "places")
+    drop(common)
+    comp, tried, links = None, None, None
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    for step in range(HUB_ROUNDS + 1):
+        here = places.select("rid", "n", "at", "shingle")
+        if comp is None:
+            here = here.withColumn("comp", F.col("rid"))
+        else:
+            here = here.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        hub = F.min(F.struct(F.xxhash64("rid", F.lit(step)).alias("h"), F.col("rid").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.col("comp").alias("hub_comp")))
+        hubs = here.groupBy("shingle").agg(hub.alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle", "x.*").drop("h")
+        met = stored(here.hint("merge").join(hubs, "shingle").filter("rid <> hub"), "met")
+        drop(places)
+        if step < HUB_ROUNDS:
+            found = met.filter("comp <> hub_comp").filter(_roomy(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), percent)).select(*pair("rid", "hub"))
+        else:  # all pairs of what is left, the hubs' among them
+            everyone = met.select("shingle", "rid", "n", "at", "comp").unionByName(met.select("shingle", F.col("hub").alias("rid"), F.col("hub_n").alias("n"), F.col("hub_at").alias("at"), F.col("hub_comp").alias("comp")).distinct())
+            other = everyone.select("shingle", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("comp").alias("comp2"))
+            fits = (F.col("rid") < F.col("rid2")) & (F.col("comp") != F.col("comp2")) & _roomy(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent)
+            found = everyone.join(other, (everyone["shingle"] == other["shingle"]) & fits).select(*pair("rid", "rid2"))
+        pairs = _open(found, tried, shapes, percent)
+        if not pairs.isEmpty():
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            new = _verified(docs, pairs, where, size, percent)
+            if not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                drop(comp)
+                comp = stored(components(links), "components")
+        places = met
+        if met.isEmpty():
+            break
+    drop(places)
+    return comp
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, _key, n_shingles, component_id for every row of docs.
 
@@ -193,75 +259,36 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id: st
     empty and blank texts have an empty set and link with nothing.  Rows that repeat an id
     are documents of their own; a null id counts as larger than all others.
     """
-    spark = docs.sparkSession
-    rarity = _rarity(docs, text, size)
-    signed = stored(_signatures(docs, rarity, id, text, size, percent), "signatures")
-    reps = signed.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first(F.struct("id", "_key")).alias("doc"))
-    reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()), "representatives")
-    where = reps.select("rid", "doc.id", "doc._key")
-    places = reps.select("rid", "n", F.posexplode("prefix").alias("at", "shingle"))
-    common = stored(places.groupBy("shingle").count().filter("count > 1").select("shingle"), "shingles-shared")
-    places = stored(places.hint("merge").join(common, "shingle").select("rid", "n", "at", "shingle"), "places")
-    comp, sets, tried, links = None, None, None, None
-    for step in range(HUB_ROUNDS + 1):
-        here = places.withColumn("comp", F.col("rid")) if comp is None else places.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        here = here if step == 0 else stored(here, "places")
-        hub = F.min(F.struct(F.xxhash64("rid", F.lit(step)).alias("h"), F.col("rid").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.col("comp").alias("hub_comp")))
-        hubs = here.groupBy("shingle").agg(hub.alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle", "x.*").drop("h")
-        hubs = stored(hubs, "hubs")
-        shared = here.hint("merge").join(hubs, "shingle")
-        if step < HUB_ROUNDS:
-            shared = stored(shared, "shared")
-            open_pairs = shared.filter("comp <> hub_comp").filter(_roomy(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), percent))
-            pairs = open_pairs.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
-            places = shared.select("rid", "n", "at", "shingle")
-        else:
-            near = stored(shared.join(reps.select("rid", "parts", "prefix"), "rid"), "near")
-            other = near.select("shingle", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("comp").alias("comp2"), F.col("parts").alias("parts2"), F.col("prefix").alias("prefix2"))
-            away = stored(near.filter("comp <> hub_comp"), "away")
-            fits = _roomy(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent) & _parts_agree(F.col("n"), F.col("parts"), F.col("n2"), F.col("parts2"), percent)
-            # a pair is taken at its first common shingle only
-            first = ~F.arrays_overlap(F.slice("prefix", F.lit(1), F.col("at")), F.slice("prefix2", F.lit(1), F.col("at2")))
-            both = away.join(other, (away["shingle"] == other["shingle"]) & (F.col("comp") != F.col("comp2")) & fits & first)
-            pairs = both.select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-            wanted = wanted if sets is None else wanted.join(sets.select("rid"), "rid", "left_anti")
-            wanted = stored(wanted.join(where, "rid"), "wanted")
-            if not wanted.isEmpty():
-                new = _sets(docs, wanted, id, text, size, sets is None).dropDuplicates(["rid"])
-                sets = stored(new, "sets-once") if sets is None else sets.unionByName(stored(new, "sets-once"))
-            found = stored(_verified(pairs, sets, percent), "links")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                comp = stored(components(links), "components")
-        elif step < HUB_ROUNDS and hubs.isEmpty():
-            break
-    ids = signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
-    named = reps.select("fp", "rid").join(ids, "fp")
+    plain = docs.select(named(id).alias("id"), text_key(text).alias("_key"), named(text).alias("text"))
+    signed = stored(_signatures(plain, _word_counts(docs, text), size, percent), "signatures")
+    sets = signed.filter("rid is not null").groupBy("rid")
+    where = stored(sets.agg(F.min(F.struct("id", "_key")).alias("one"), F.min("id").alias("least")).select("rid", "one.*", "least"), "sets")
+    comp = _connected(plain, signed, where.select("rid", "id", "_key"), size, percent)
     if comp is None:
-        named = named.withColumn("comp", F.col("rid"))
+        by_set = where.select("rid", F.col("least").alias("component_id"))
     else:
-        named = named.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    named = stored(named, "named")
-    lowest = stored(named.groupBy("comp").agg(F.min("least").alias("component_id")), "lowest")
-    by_set = stored(named.join(lowest, "comp").select("fp", "component_id"), "set-components")
-    return signed.join(by_set, "fp", "left").select(
+        at = where.select("rid", "least").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        lowest = at.groupBy("comp").agg(F.min("least").alias("component_id"))
+        by_set = stored(at.join(lowest, "comp").select("rid", "component_id"), "set-components")
+        drop(comp, where)
+    rows = stored(signed.select("id", "_key", "n", "rid"), "documents-signed")
+    drop(signed)
+    return rows.join(by_set, "rid", "left").select(
         F.col("id").alias(id), "_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay when of each component only the smallest id does.
+    """The rows of docs, with its columns, that stay when of each component only the smallest
+    id does.
 
     Rows without words all stay; of rows that repeat id and text one stays."""
     found = jaccard_components(docs, size, percent, id, text)
-    stay = stored(found.filter((F.col(id).eqNullSafe(F.col("component_id"))) | (F.col("n_shingles") == 0)).select(F.col(id).alias("_sid"), F.col("_key").alias("_skey")).distinct(), "staying")
-    keyed = docs.withColumn("_dkey", text_key(text))
-    joined = keyed.join(stay, F.col(id).eqNullSafe(F.col("_sid")) & (F.col("_dkey") == F.col("_skey")), "left_semi")
-    return joined.dropDuplicates([id, "_dkey"]).drop("_dkey")
+    key, sid, skey = fresh(docs, "_dkey", "_sid", "_skey")
+    stay = found.filter((named(id).eqNullSafe(F.col("component_id"))) | (F.col("n_shingles") == 0)).select(named(id).alias(sid), F.col("_key").alias(skey)).distinct()
+    keyed = docs.withColumn(key, text_key(text))
+    joined = keyed.join(stored(stay, "staying"), named(id).eqNullSafe(named(sid)) & (named(key) == named(skey)), "left_semi")
+    return joined.dropDuplicates([id, key]).drop(key)
 
 
 #: DuckDB SQL of jaccard_components with three-word shingles at 90 percent, for small tables.

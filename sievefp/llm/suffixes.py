@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import U64, Hasher, mix, shuffles, slabs, stored, text_key, utf8
+from sievefp.llm.common import U64, Hasher, mix, shuffles, stored, text_key, utf8, with_documents
 
 LENGTH = 200
 GRAM = 32
 #: Contexts under one digit that are sorted in one place; larger groups are dealt out by window.
 TOGETHER = 4096
-_DOC_SLOTS = 1 << 20
-_PIECE = 1 << 19
+_PIECE = 1 << 18
 
 
 def _rolling(data: np.ndarray, size: int) -> np.ndarray:
@@ -231,11 +230,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         wanted.groupBy("id", "_key").agg(F.collect_list(F.struct("digit", "context", "m", "at", "first", "last")).alias("places")).withColumnsRenamed({"id": "_wid", "_key": "_wkey"}),
         "context-places",
     )
-    # a bitmap of fixed size keeps most other documents out of the shuffle
-    slot = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(_DOC_SLOTS)).alias("_slot")
-    slots = stored(lists.select(slot("_wid", "_wkey")).distinct(), "context-documents")
-    near = docs.withColumn("_slot", slot("id", "_key")).join(F.broadcast(slots), "_slot", "left_semi")
-    rows = near.hint("merge").join(lists, F.col("id").eqNullSafe(F.col("_wid")) & (F.col("_key") == F.col("_wkey"))).select("text", "places")
+    rows = with_documents(docs, lists).select("text", "places")
 
     def run(batches):
         for batch in batches:
