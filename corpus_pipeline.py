@@ -10,22 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievefp.llm import bpe, decontaminate, jaccard, lines, quality
-from sievefp.llm.common import new_path, stored, table, text_key
+from sievefp.llm.common import fresh, named, new_path, stored, table, text_key
 from sievefp.llm.registry import vocabulary
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling accepts."""
+    """Documents that importance resampling accepts.
+
+    Null and empty texts weigh 0, as clean ones nearly do, and mostly stay; rows that repeat
+    id and text go or stay together.  Without labels all documents stay."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of three-line windows; one that loses all its
-    lines goes, and n_chars follows the text."""
-    found = lines.line_dedup(docs)
+    lines goes, and n_chars follows the text.
+
+    Null and empty texts stay; of documents with equal ids and texts each row stays."""
+    own = [c for c in ("n_lines", "n_removed") if c in docs.columns]
+    held = fresh(docs, *own)  # columns of docs that line_dedup would replace
+    found = lines.line_dedup(docs.withColumnsRenamed(dict(zip(own, held))))
     left = found.filter(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", length).select(*docs.columns)
+    names = dict(zip(own, held))
+    return left.withColumn("n_chars", length).select(*[named(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +42,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten-word window of a benchmark item."""
+    """Documents that hold no ten-word window of a benchmark item.
+
+    Null and empty texts have no words and stay; rows that repeat id and text go or stay
+    together.  Without benchmark items all documents stay."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = stored(found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_hit")), "contaminated")
-    keyed = docs.withColumn("_key", text_key())
-    return keyed.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hit")), "left_anti").drop("_key")
+    key, hit_id, hit_key = fresh(docs, "_key", "_hit_id", "_hit_key")
+    hit = stored(found.filter("contaminated").select(F.col("doc_id").alias(hit_id), F.col("_key").alias(hit_key)), "contaminated")
+    keyed = docs.withColumn(key, text_key())
+    return keyed.join(hit, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(key) == F.col(hit_key)), "left_anti").drop(key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
