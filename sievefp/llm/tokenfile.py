@@ -2,21 +2,25 @@
 
 A file holds the ids of many documents one after another, in blocks of BLOCK ids.  Every
 block is coded by itself, with a model that starts anew, and has a crc32, so that blocks can
-be read and checked alone.  The model predicts the next id
-from the last two ids (order 2) and from the last one (order 1): tables hold what followed a
-context last time and how often that held.  First comes whether the order-2 prediction holds,
-else the order-1 one; the chance of each is mixed from three adaptive estimates, by the
-confidence of the order-2 prediction, by that of the order-1 prediction and without context,
-with weights that follow how well each did.  If neither holds, the id's bit length follows by
-adaptive frequencies of the ids themselves (order 0), then its lower bits.  All arithmetic is
-on integers, so that decoding repeats it exactly.
+be read and checked alone.  Blocks come in groups that share a prior: the ids of the group and
+their frequencies.
+
+The model predicts the next id from the last two ids (order 2) and from the last one (order
+1): tables hold what followed a context last time and how often that held.  First comes
+whether the order-2 prediction holds, else the order-1 one.  The chance of each is mixed from
+two adaptive estimates, one by how far both orders are trusted and whether they agree, one by
+the class of the last id, with a weight that follows which did better.  If neither holds, the
+id follows by order 0: its class, one of some dozen of neighbouring ids, by adaptive
+frequencies of the block, and the id within its class by the prior.  All arithmetic is on
+integers, so that decoding repeats it exactly.
 
 numpy codes up to LANES blocks side by side, one id of each at a time.
 
-File format (little-endian): b"SFTK0001"; groups of blocks: u32 number of blocks, then for
-each u32 ids, u32 bytes, u32 crc32 of the ids as u32, then the blocks' bytes; u32 0; the
-index: zlib-compressed JSON [[document ids as text or null], [ids per document]]; u64 place
-of the index; b"SFTKEND1".
+File format (little-endian): b"SFTK0002"; groups of blocks: u32 number of blocks, u32 bytes of
+the prior, then for each block u32 ids, u32 bytes, u32 crc32 of the ids as u32, then the prior
+(zlib: u32 ids ascending as differences, u16 frequencies within the class less 1) and the
+blocks' bytes; u32 0; the index: zlib-compressed JSON [[document ids as text or null], [ids
+per document]]; u64 place of the index; b"SFTKEND1".
 """
 
 from __future__ import annotations
@@ -29,158 +33,211 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import new_path, shuffles, stored, text_key
+from sievefp.llm.common import U64, named, new_path, shuffles, stored, text_key
 from sievefp.llm.warc import filesystem
 
 BLOCK = 4096
 LANES = 1024
-#: Bit lengths the order-0 model knows: ids + 1 have at most so many bits.
-LENGTHS = 17
-_MAGIC, _END = b"SFTK0001", b"SFTKEND1"
-_TOP, _BOTTOM = 1 << 24, 1 << 16
+_MAGIC, _END = b"SFTK0002", b"SFTKEND1"
+#: Range coder: the top 16 bits go out when they are settled; a range is never under 2^40.
+_TOP, _BOTTOM, _OUT = U64(1 << 48), U64(1 << 40), U64(16)
 _SLOTS1, _SLOTS2 = 1 << 9, 1 << 10
-_ONE = 1 << 16
-#: The order-0 frequencies are summed up anew after so many ids.
+#: Bits of a hit's chance, of the frequencies within a class, and of a class's frequencies.
+_BITS, _WITHIN, _CLASS = 16, 16, 12
+_ONE = 1 << _BITS
+#: Ids of a class at most, and classes of a group at least.
+_MEMBERS, _CLASSES = 1 << 15, 32
+#: The classes' frequencies are summed up anew after so many ids.
 _RENEW = 16
 
 
+class Prior:
+    """The ids of a group by number (their rank), their classes and frequencies within them."""
+
+    def __init__(self, ids: np.ndarray, width: np.ndarray):
+        self.ids, self.width = ids, width.astype(np.int64)
+        # classes are consecutive runs of ids whose frequencies sum up to 2^_WITHIN
+        ends = np.cumsum(self.width)
+        self.of = ((ends - 1) >> _WITHIN).astype(np.int32)
+        self.start = ends - self.width - (self.of.astype(np.int64) << _WITHIN)
+        self.classes = int(self.of[-1]) + 1 if len(ids) else 1
+
+    @classmethod
+    def fit(cls, ids: np.ndarray) -> "Prior":
+        found, n = np.unique(ids, return_counts=True)
+        if not len(found):
+            return cls(found.astype(np.int64), found.astype(np.int64))
+        classes = min(len(found), max(_CLASSES, -(-len(found) // _MEMBERS)))
+        # cut where an equal share of all ids is reached, and at _MEMBERS ids
+        share = np.cumsum(n) * classes // max(int(n.sum()), 1)
+        cut = np.flatnonzero(np.diff(share)) + 1
+        parts = [q for run in np.split(np.arange(len(found)), cut) for q in np.array_split(run, -(-len(run) // _MEMBERS))]
+        width = np.zeros(len(found), np.int64)
+        for part in parts:
+            own = 1 + n[part] * ((1 << _WITHIN) - len(part)) // n[part].sum()
+            own[np.argmax(own)] += (1 << _WITHIN) - own.sum()
+            width[part] = own
+        return cls(found, width)
+
+    def data(self) -> bytes:
+        return zlib.compress(struct.pack("<I", len(self.ids)) + np.diff(self.ids, prepend=0).astype("<u4").tobytes() + (self.width - 1).astype("<u2").tobytes())
+
+    @classmethod
+    def read(cls, data: bytes) -> "Prior":
+        plain = zlib.decompress(data)
+        (n,) = struct.unpack_from("<I", plain)
+        ids = np.cumsum(np.frombuffer(plain, "<u4", n, 4).astype(np.int64))
+        return cls(ids, np.frombuffer(plain, "<u2", n, 4 + 4 * n).astype(np.int64) + 1)
+
+    def masses(self, lanes: int) -> np.ndarray:
+        """First frequencies of the classes, equal for each lane."""
+        return np.full((lanes, self.classes), 32, np.int32)
+
+
 class _Model:
-    """Predictions and probabilities of ``lanes`` blocks, all arrays flat over lanes."""
+    """Predictions and probabilities of ``lanes`` blocks, all arrays flat over lanes; ids are
+    their numbers in the prior."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, prior: Prior):
         lane = np.arange(lanes)
-        self.base1, self.base2, self.base9, self.base_row = lane * _SLOTS1, lane * _SLOTS2, lane * 9, lane * LENGTHS
+        self.prior, self.k = prior, prior.classes
+        self.base1, self.base2, self.base_a, self.base_b = lane * _SLOTS1, lane * _SLOTS2, lane * 32, lane * self.k
         # what followed a context, times four, and how often that held (0 to 3)
         self.table1, self.table2 = np.full(lanes * _SLOTS1, -4, np.int32), np.full(lanes * _SLOTS2, -4, np.int32)
-        # chances of a hit: [0] without context, [1 + confidence] by order 1, [5 + confidence] by order 2
-        self.chance = [np.full(lanes * 9, _ONE >> 2, np.int32) for _ in range(2)]
-        self.weight = [[np.full(lanes, 85, np.int32) for _ in range(3)] for _ in range(2)]
-        self.counts = np.ones(lanes * LENGTHS, np.int32)
+        # chances of a hit of order 2, then of order 1, by trust and by the last id's class
+        self.by_trust = [np.full(lanes * 32, _ONE >> 2, np.int32) for _ in range(2)]
+        self.by_class = [np.full(lanes * self.k, _ONE >> 2, np.int32) for _ in range(2)]
+        self.weight = [np.full(lanes, 160, np.int32) for _ in range(2)]
+        self.counts = prior.masses(lanes)
+        self.flat = self.counts.reshape(-1)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.own = np.zeros(lanes, np.int64)  # class of the last id
         self.steps = 0
 
     def ready(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Looks up the first n lanes' predictions: widths of a hit of order 2 and of order 1,
         of _ONE in all."""
         if self.steps % _RENEW == 0:
-            rows = self.counts.reshape(-1, LENGTHS)
-            full = rows.sum(1) > 1 << 14
-            rows[full] = (rows[full] + 1) >> 1
-            self.above = np.zeros((len(rows), LENGTHS + 1), np.int64)
-            np.cumsum(rows, axis=1, out=self.above[:, 1:])
+            total = self.counts.sum(1)
+            full = np.flatnonzero(total > 1 << 13)
+            if len(full):
+                self.counts[full] = (self.counts[full] + 1) >> 1
+                total[full] = self.counts[full].sum(1)
+            self.above = np.zeros((len(total), self.k + 1), np.int64)
+            np.cumsum(self.counts, axis=1, out=self.above[:, 1:])
+            self.above = self.above * ((1 << _CLASS) - self.k) // total[:, None] + np.arange(self.k + 1)
+            self.above_flat = self.above.reshape(-1)
         self.steps += 1
         last, before = self.last[:n], self.before[:n]
-        self.at1 = self.base1[:n] + (((last * 0x9E3779B1) >> 7) & (_SLOTS1 - 1))
-        self.at2 = self.base2[:n] + (((last * 0x85EBCA6B + before * 0xC2B2AE35) >> 9) & (_SLOTS2 - 1))
-        found1, found2 = self.table1[self.at1], self.table2[self.at2]
+        self.at1 = (((last * 0x9E3779B1) >> 7) & (_SLOTS1 - 1)) + self.base1[:n]
+        self.at2 = (((last * 0x85EBCA6B + before * 0xC2B2AE35) >> 9) & (_SLOTS2 - 1)) + self.base2[:n]
+        found1, found2 = self.table1.take(self.at1), self.table2.take(self.at2)
         self.guess1, self.guess2, self.trust1, self.trust2 = found1 >> 2, found2 >> 2, found1 & 3, found2 & 3
-        base = self.base9[:n]
-        self.views = (base, base + 1 + self.trust1, base + 5 + self.trust2)
+        self.at_a = (self.trust2 << 3 | self.trust1 << 1 | (self.guess1 == self.guess2)) + self.base_a[:n]
+        self.at_b = self.own[:n] + self.base_b[:n]
         self.seen, mixed = [], []
-        for chance, weight in zip(self.chance, self.weight):
-            own = [chance[v] for v in self.views]
-            self.seen.append(own)
-            w0, w1, w2 = (w[:n] for w in weight)
-            mixed.append((own[0] * w0 + own[1] * w1 + own[2] * w2) // (w0 + w1 + w2))
-        second = np.clip(mixed[0], 64, _ONE - 128)
-        first = np.clip((_ONE - second) * mixed[1].astype(np.int64) >> 16, 32, _ONE - second - 32)
+        for k in range(2):
+            a, b, w = self.by_trust[k].take(self.at_a), self.by_class[k].take(self.at_b), self.weight[k][:n]
+            self.seen.append((a, b))
+            mixed.append(b + ((a - b) * w >> 8))
+        second = np.minimum(np.maximum(mixed[0], 64), _ONE - 128)
+        left = _ONE - second
+        first = np.minimum(np.maximum(left * (mixed[1] >> 1) >> (_BITS - 1), 32), left - 32)
         return second, first
 
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray, lengths: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray) -> None:
         n = len(ids)
-        for k, (hit, asked) in enumerate(((hit2, None), (hit1, ~hit2))):
-            goal = np.where(hit, _ONE - 1, 0)
-            told = [np.where(hit, own, _ONE - own) >> 4 for own in self.seen[k]]
-            total = told[0] + told[1] + told[2] + 1
-            for view, own, part, weight in zip(self.views, self.seen[k], told, self.weight[k]):
-                step, shift = (goal - own) >> 5, ((240 * part // total - weight[:n]) >> 5)
-                if asked is not None:
-                    step, shift = step * asked, shift * asked
-                self.chance[k][view] = own + step
-                weight[:n] = np.maximum(weight[:n] + shift, 8)
-        self.counts[self.base_row[missed] + lengths] += 32
+        for k, hit in enumerate((hit2, hit1)):
+            a, b = self.seen[k]
+            goal = hit * (_ONE - 1)
+            better = np.where(hit, a > b, a < b)
+            step_a, step_b, shift = (goal - a) >> 4, (goal - b) >> 5, (better * 248 - self.weight[k][:n]) >> 6
+            if k:  # order 1 is asked only where order 2 failed
+                asked = ~hit2
+                step_a, step_b, shift = step_a * asked, step_b * asked, shift * asked
+            self.by_trust[k][self.at_a] = a + step_a
+            self.by_class[k][self.at_b] = b + step_b
+            self.weight[k][:n] += shift
+        kinds = self.prior.of.take(ids)
+        self.flat[self.base_b.take(missed) + kinds.take(missed)] += 24
         for table, at, guess, trust in ((self.table1, self.at1, self.guess1, self.trust1), (self.table2, self.at2, self.guess2, self.trust2)):
             right = guess == ids
             trust = np.where(right, np.minimum(trust + 1, 3), trust >> 1)
             table[at] = np.where(right | (trust == 0), ids, guess) << 2 | trust
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
+        self.own[:n] = kinds
 
 
 class _Coder:
-    """Low end and width of each lane's range; ``shift`` is called for lanes that gain a byte."""
+    """Low end and width of each lane's range; ``shift`` is called for lanes whose top goes out."""
 
     def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
-
-    def narrow(self, at, start: np.ndarray, width: np.ndarray) -> None:
-        """Takes [start, start + width) of what ``self.range`` has been divided into."""
-        span = self.range[at]
-        low = self.low[at] + start.astype(np.uint32) * span
-        span *= width.astype(np.uint32)
-        lanes = np.arange(len(self.low))[at]
-        todo = np.arange(len(lanes))
-        while True:
-            go = (low[todo] ^ (low[todo] + span[todo])) < _TOP
-            tight = ~go & (span[todo] < _BOTTOM)
-            if tight.any():
-                thin = todo[tight]
-                span[thin] = (~low[thin] + np.uint32(1)) & (_BOTTOM - 1)
-                go |= tight
-            todo = todo[go]
-            if not len(todo):
-                break
-            self.shift(lanes[todo], low[todo])
-            low[todo] <<= 8
-            span[todo] <<= 8
-        self.low[at], self.range[at] = low, span
+        self.low, self.range = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
+
+    def narrow(self, at, span: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """Takes [start, start + width) of the range in units of span, in the lanes ``at``."""
+        low = self.low[at] + start.astype(U64) * span
+        size = span * width.astype(U64)
+        go = ((low ^ (low + size)) < _TOP) | (size < _BOTTOM)
+        self.low[at], self.range[at] = low, size
+        todo = np.flatnonzero(go)
+        todo = todo if isinstance(at, slice) else at.take(todo)
+        while len(todo):
+            low, size = self.low.take(todo), self.range.take(todo)
+            tight = (low ^ (low + size)) >= _TOP
+            if tight.any():  # the range spans a border and is too small: it is cut there
+                size[tight] = (~low[tight] + U64(1)) & (_BOTTOM - U64(1))
+            self.shift(todo, low)
+            low, size = low << _OUT, size << _OUT
+            self.low[todo], self.range[todo] = low, size
+            todo = todo[((low ^ (low + size)) < _TOP) | (size < _BOTTOM)]
 
 
 class _Encoder(_Coder):
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, most: int):
         super().__init__(lanes)
-        self.out = np.zeros((lanes, BLOCK * 6 + 16), np.uint8)
+        self.out = np.zeros((lanes, most * 4 + 16), "<u2")
         self.size = np.zeros(lanes, np.int64)
 
-    def put(self, at, start, width, total) -> None:
-        """Codes [start, start + width) of total in the lanes ``at``."""
-        self.range[at] //= np.asarray(total).astype(np.uint32)
-        self.narrow(at, start, width)
-
     def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.out[lanes, self.size[lanes]] = low >> 24
-        self.size[lanes] += 1
+        at = self.size.take(lanes)
+        self.out[lanes, at] = low >> U64(48)
+        self.size[lanes] = at + 1
 
     def close(self) -> list[bytes]:
+        every = np.arange(len(self.low))
         for _ in range(4):
-            self.shift(np.arange(len(self.low)), self.low)
-            self.low <<= 8
+            self.shift(every, self.low)
+            self.low <<= _OUT
         return [row[:n].tobytes() for row, n in zip(self.out, self.size.tolist())]
 
 
 class _Decoder(_Coder):
     def __init__(self, blocks: list[bytes]):
         super().__init__(len(blocks))
-        self.data = np.zeros((len(blocks), max(map(len, blocks)) + 8), np.uint8)
+        self.data = np.zeros((len(blocks), max(map(len, blocks)) // 2 + 8), "<u2")
         for row, block in zip(self.data, blocks):
-            row[: len(block)] = np.frombuffer(block, np.uint8)
-        self.code = self.data[:, :4].copy().view(">u4")[:, 0].astype(np.uint32)
+            row[: len(block) // 2] = np.frombuffer(block, "<u2", len(block) // 2)
+        self.code = np.zeros(len(blocks), U64)
+        for i in range(4):
+            self.code = self.code << _OUT | self.data[:, i]
         self.place = np.full(len(blocks), 4)
 
-    def peek(self, at, total) -> np.ndarray:
-        """Where in total the code stands; ``narrow`` must follow."""
-        total = np.asarray(total).astype(np.uint32)
-        self.range[at] //= total
-        return np.minimum((self.code[at] - self.low[at]) // self.range[at], total - np.uint32(1)).astype(np.int64)
+    def peek(self, at, span: np.ndarray, total: int) -> np.ndarray:
+        """Where in total the code stands, in units of span."""
+        return np.minimum((self.code[at] - self.low[at]) // span, U64(total - 1)).astype(np.int64)
 
     def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        place = np.minimum(self.place[lanes], self.data.shape[1] - 1)  # a damaged block may run on
-        self.code[lanes] = self.code[lanes] << 8 | self.data[lanes, place]
-        self.place[lanes] += 1
+        at = self.place.take(lanes)
+        more = self.data[lanes, np.minimum(at, self.data.shape[1] - 1)]  # a damaged block may run on
+        self.code[lanes] = self.code.take(lanes) << _OUT | more
+        self.place[lanes] = at + 1
 
 
 def _still(lengths: np.ndarray, step: int) -> int:
@@ -188,70 +245,84 @@ def _still(lengths: np.ndarray, step: int) -> int:
     return int(np.searchsorted(-lengths, -step, "left"))
 
 
-def pack(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
-    """(number of ids, crc32, bytes) of each block of block ids (the last may be shorter).
+def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[tuple[int, int, bytes]]]:
+    """The prior of ids, and (number of ids, crc32, bytes) of each block of block ids (the
+    last may be shorter).
 
-    Ids are 0 to 2^17 - 2; ValueError if any other is among them."""
-    if len(ids) and not 0 <= ids.min() <= ids.max() < (1 << LENGTHS) - 1:
-        raise ValueError(f"token ids must be from 0 to {(1 << LENGTHS) - 2}")
+    Ids are unsigned 32-bit integers; ValueError if any other is among them."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < 1 << 32:
+        raise ValueError("token ids must be from 0 to 4294967295")
+    prior = Prior.fit(ids)
     lanes = -(-len(ids) // block)
     grid = np.zeros(lanes * block, np.int64)
-    grid[: len(ids)] = ids
+    grid[: len(ids)] = np.searchsorted(prior.ids, ids)
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     lengths = np.minimum(block, len(ids) - np.arange(lanes) * block)
-    model, coder = _Model(lanes), _Encoder(lanes)
+    model, coder = _Model(lanes, prior), _Encoder(lanes, block)
     for step in range(int(lengths[0]) if lanes else 0):
         n = _still(lengths, step)
-        now = grid[step, :n]
+        now, every = grid[step, :n], slice(0, n)
         second, first = model.ready(n)
         hit2 = now == model.guess2
         hit1 = ~hit2 & (now == model.guess1)
-        start = np.where(hit2, 0, np.where(hit1, second, second + first))
-        coder.put(slice(0, n), start, np.where(hit2, second, np.where(hit1, first, _ONE - second - first)), _ONE)
-        missed = np.flatnonzero(~(hit2 | hit1))
-        literal = now[missed] + 1
-        bits = np.frexp(literal.astype(np.float64))[1] - 1  # floor(log2(id + 1))
-        start = model.above[missed, bits]
-        coder.put(missed, start, model.above[missed, bits + 1] - start, model.above[missed, -1])
-        coder.put(missed, literal - (1 << bits), np.ones(len(bits), np.int64), 1 << bits)
-        model.learn(now, hit2, hit1, missed, bits)
+        miss = ~(hit2 | hit1)
+        both = second + first
+        start = miss * both + hit1 * second
+        coder.narrow(every, coder.range[every] >> U64(_BITS), start, np.where(hit2, second, np.where(hit1, first, _ONE - both)))
+        missed = np.flatnonzero(miss)
+        if len(missed):
+            said = now.take(missed)
+            at = missed * (model.k + 1) + prior.of.take(said)
+            low = model.above_flat.take(at)
+            wide = model.above_flat.take(at + 1) - low
+            coder.narrow(missed, coder.range.take(missed) >> U64(_WITHIN + _CLASS), (low << _WITHIN) + wide * prior.start.take(said), wide * prior.width.take(said))
+        model.learn(now, hit2, hit1, missed)
     plain = ids.astype("<u4")
-    return [(int(k), zlib.crc32(plain[i * block : i * block + int(k)].tobytes()), data) for i, (k, data) in enumerate(zip(lengths, coder.close()))]
+    blocks = [(int(k), zlib.crc32(plain[i * block : i * block + int(k)].tobytes()), data) for i, (k, data) in enumerate(zip(lengths, coder.close()))]
+    return prior.data(), blocks
 
 
-def unpack(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """The ids of blocks (number of ids, crc32, bytes), longest first; ValueError if one is damaged."""
+def unpack(prior: bytes, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+    """The ids of blocks (number of ids, crc32, bytes) of a prior, longest first; ValueError
+    if one is damaged."""
     if not blocks:
         return np.empty(0, np.int64)
     lengths = np.array([k for k, _, _ in blocks])
     if (np.diff(lengths) > 0).any():
         raise ValueError("blocks must come in order of length")
+    prior = Prior.read(prior)
+    by_place = np.repeat(np.arange(len(prior.ids), dtype=np.int32), prior.width)
     grid = np.zeros((int(lengths[0]), len(blocks)), np.int64)
-    model, coder = _Model(len(blocks)), _Decoder([data for _, _, data in blocks])
+    model, coder = _Model(len(blocks), prior), _Decoder([data for _, _, data in blocks])
     for step in range(int(lengths[0])):
         n = _still(lengths, step)
-        second, first = model.ready(n)
         every = slice(0, n)
-        count = coder.peek(every, _ONE)
-        hit2 = count < second
-        hit1 = ~hit2 & (count < second + first)
-        start = np.where(hit2, 0, np.where(hit1, second, second + first))
-        coder.narrow(every, start, np.where(hit2, second, np.where(hit1, first, _ONE - second - first)))
-        missed = np.flatnonzero(~(hit2 | hit1))
-        above = model.above[missed]
-        count = coder.peek(missed, above[:, -1])
-        bits = (above[:, 1:] <= count[:, None]).sum(1)
-        start = model.above[missed, bits]
-        coder.narrow(missed, start, model.above[missed, bits + 1] - start)
-        low = coder.peek(missed, 1 << bits)
-        coder.narrow(missed, low, np.ones(len(low), np.int64))
+        second, first = model.ready(n)
+        both = second + first
+        span = coder.range[every] >> U64(_BITS)
+        count = coder.peek(every, span, _ONE)
+        hit2, miss = count < second, count >= both
+        hit1 = ~(hit2 | miss)
+        coder.narrow(every, span, miss * both + hit1 * second, np.where(hit2, second, np.where(hit1, first, _ONE - both)))
         now = np.where(hit2, model.guess2, model.guess1).astype(np.int64)
-        now[missed] = low + (1 << bits) - 1
-        model.learn(now, hit2, hit1, missed, bits)
+        missed = np.flatnonzero(miss)
+        if len(missed):
+            span = coder.range.take(missed) >> U64(_WITHIN + _CLASS)
+            count = coder.peek(missed, span, 1 << (_WITHIN + _CLASS))
+            kind = (model.above[missed, 1:] <= (count >> _WITHIN)[:, None]).sum(1)
+            at = missed * (model.k + 1) + kind
+            low = model.above_flat.take(at)
+            wide = model.above_flat.take(at + 1) - low
+            place = np.minimum((count - (low << _WITHIN)) // wide, (1 << _WITHIN) - 1)
+            said = by_place.take((kind << _WITHIN) + place)
+            coder.narrow(missed, span, (low << _WITHIN) + wide * prior.start.take(said), wide * prior.width.take(said))
+            now[missed] = said
+        np.maximum(now, 0, out=now)  # a damaged block may name what no table holds
+        model.learn(now, hit2, hit1, missed)
         grid[step, :n] = now
     out = []
     for i, (k, crc, _) in enumerate(blocks):
-        ids = np.ascontiguousarray(grid[:k, i])
+        ids = prior.ids[grid[:k, i]]
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
         out.append(ids)
@@ -271,9 +342,10 @@ class Writer:
         self.stream.write(data)
         self.at += len(data)
 
-    def add(self, name: str | None, ids: np.ndarray) -> None:
-        self.names.append(name)
-        self.sizes.append(len(ids))
+    def add(self, names: list[str | None], sizes: list[int], ids: np.ndarray) -> None:
+        """The ids of some documents, one after another."""
+        self.names += names
+        self.sizes += sizes
         self.held.append(ids)
         self.many += len(ids)
         while self.many >= LANES * BLOCK:
@@ -282,10 +354,10 @@ class Writer:
             self.held, self.many = [every[LANES * BLOCK :]], len(every) - LANES * BLOCK
 
     def _group(self, ids: np.ndarray) -> None:
-        blocks = pack(ids)
-        self._put(struct.pack("<I", len(blocks)))
+        prior, blocks = pack(ids)
+        self._put(struct.pack("<II", len(blocks), len(prior)))
         self._put(b"".join(struct.pack("<III", k, len(data), crc) for k, crc, data in blocks))
-        self._put(b"".join(data for _, _, data in blocks))
+        self._put(prior + b"".join(data for _, _, data in blocks))
 
     def close(self) -> None:
         if self.many:
@@ -315,8 +387,10 @@ def read_documents(source):
             (many,) = struct.unpack("<I", source.read(4))
             if not many:
                 raise ValueError("the token file lacks ids")
+            (size,) = struct.unpack("<I", source.read(4))
             heads = [struct.unpack("<III", source.read(12)) for _ in range(many)]
-            held = np.concatenate([held, unpack([(k, crc, source.read(b)) for k, b, crc in heads])])
+            prior = source.read(size)
+            held = np.concatenate([held, unpack(prior, [(k, crc, source.read(b)) for k, b, crc in heads])])
         yield name, held[:n]
         held = held[n:]
 
@@ -325,8 +399,8 @@ class WordTokens:
     """Ids by the tokenizers library; what stands between single blanks is encoded once.
 
     A blank after a non-blank starts a new word of a byte-level vocabulary, so such pieces
-    encode by themselves.  Texts with blanks in a row, or special tokens, go to the library
-    whole.
+    encode by themselves; Arrow finds the distinct ones of a batch and numpy puts their ids
+    together.  Texts with blanks in a row, or special tokens, go to the library whole.
     """
 
     def __init__(self, path: str, memo: int = 250_000):
@@ -342,27 +416,64 @@ class WordTokens:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, texts: list[str]) -> None:
+    def _known(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of each distinct piece; None of one that does not encode by itself."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        seen: set[str] = set()
-        for text in texts:
-            seen.update(text.split(" ")[1:])
         missing = []
-        for piece in seen.difference(self.young):
-            known = self.old.get(piece)
-            if known is not None:
-                self.young[piece] = known
-            elif piece and not piece[0].isspace() and not piece[-1].isspace():
-                missing.append(piece)
-        self.young.update(zip(missing, self._ids([" " + p for p in missing])))
-
-    def encode(self, text: str) -> np.ndarray:
-        head, *rest = text.split(" ")
-        found = list(map(self.young.get, rest))
-        if None in found or not head or head[-1].isspace() or any(s in text for s in self.special):
-            return np.frombuffer(self._ids([text])[0], "<u4")
-        return np.frombuffer(b"".join([self._ids([head])[0], *found]), "<u4")
+        for piece in pieces:
+            if piece not in self.young:
+                known = self.old.get(piece)
+                if known is not None:
+                    self.young[piece] = known
+                elif piece[1:] and not piece[1].isspace() and not piece[-1].isspace():
+                    missing.append(piece)
+        self.young.update(zip(missing, self._ids(missing)))
+        return list(map(self.young.get, pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's ids end); null is empty."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        split = pc.split_pattern(texts, " ")
+        ends = np.asarray(split.offsets)[1:] - np.asarray(split.offsets)[0]
+        pieces = split.flatten()
+        first = np.concatenate([[0], ends[:-1]])
+        blank = np.full(len(pieces), " ")
+        blank[first] = ""  # a text's first piece has no blank before it
+        pieces = pc.binary_join_element_wise(pa.array(blank), pieces, "").dictionary_encode()
+        at, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        heads = np.unique(at[first])
+        lead = [distinct[i] for i in heads.tolist()]
+        found = self._known([d if d[:1] == " " else "" for d in distinct])
+        whole = [d for d in lead if d[:1] != " " and d and not d[-1].isspace()]
+        plain = dict(zip(whole, self._ids(whole)))
+        for i, d in zip(heads.tolist(), lead):
+            if d[:1] != " ":
+                found[i] = plain.get(d)
+        odd = np.array([f is None for f in found])
+        sizes = np.array([0 if f is None else len(f) >> 2 for f in found], np.int64)
+        flat = np.frombuffer(b"".join(f for f in found if f), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        alone = np.logical_or.reduceat(odd[at], first) if len(first) else np.zeros(0, bool)
+        for special in self.special:
+            alone |= np.asarray(pc.match_substring(texts, special).cast(pa.uint8())).astype(bool)
+        of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        n = sizes[at] * ~alone[of]
+        total = np.cumsum(n)
+        ids = flat[np.repeat(begins[at] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
+        per = np.bincount(of, n, len(texts)).astype(np.int64)
+        if alone.any():
+            which = np.flatnonzero(alone)
+            own = [np.frombuffer(x, "<u4") for x in self._ids([texts[i].as_py() for i in which.tolist()])]
+            cuts, parts, done = np.cumsum(per), [], 0
+            for i, x in zip(which.tolist(), own):
+                parts += [ids[done : cuts[i]], x]
+                done = cuts[i]
+            ids = np.concatenate([*parts, ids[done:]])
+            per[which] = [len(x) for x in own]
+        return ids, np.cumsum(per)
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -373,26 +484,25 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     path, docs, tokens.  Nulls come first, rows of equal ids in the order of a text hash.
 
     Files that a lost or repeated task left are not listed."""
-    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), text_key(text).alias("_key"))
+    base = docs.select(named(id).alias("id"), named(text).alias("text"), text_key(text).alias("_key"))
     order = base.repartitionByRange(shuffles(docs.sparkSession), F.col("id").asc_nulls_first(), "_key").sortWithinPartitions(F.col("id").asc_nulls_first(), "_key")
 
     def write(batches):
         out, writer, name, tokens = None, None, f"{folder}/{uuid.uuid4().hex}.tok", 0
         coder = _tokens.get(vocabulary) or _tokens.setdefault(vocabulary, WordTokens(vocabulary))
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                coder.learn(texts)
-                for doc, t in zip(part.column(0).to_pylist(), texts):
-                    if writer is None:
-                        files, inner = filesystem(folder)
-                        files.create_dir(inner, recursive=True)
-                        out = files.open_output_stream(f"{inner}/{name.rpartition('/')[2]}", compression=None)
-                        writer = Writer(out)
-                    ids = np.append(coder.encode(t) if t else np.empty(0, "<u4"), end_id).astype(np.int64)
-                    writer.add(doc, ids)
-                    tokens += len(ids)
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                if writer is None:
+                    files, inner = filesystem(folder)
+                    files.create_dir(inner, recursive=True)
+                    out = files.open_output_stream(f"{inner}/{name.rpartition('/')[2]}", compression=None)
+                    writer = Writer(out)
+                ids, ends = coder.encode(part.column(1))
+                ids = np.insert(ids.astype(np.int64), ends, end_id)
+                sizes = np.diff(ends, prepend=0) + 1
+                writer.add(part.column(0).to_pylist(), sizes.tolist(), ids)
+                tokens += len(ids)
         if writer is not None:
             writer.close()
             out.close()
@@ -400,8 +510,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 [pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([len(writer.names)]), pa.array([tokens])], ["part", "path", "docs", "tokens"]
             )
 
-    named = order.select(F.col("id").cast("string"), "text")
-    return stored(named.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-files")
+    texts = order.select(F.col("id").cast("string"), "text")
+    return stored(texts.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
