@@ -14,7 +14,8 @@ from sievefp import paths
 from sievefp.engine import FingerprintEngine
 from sievefp.functions import bits, sql
 from sievefp.operators import isim, search
-from sievefp.sources import featurize, store
+from sievefp.sources import featurize, molecules, store
+from sievefp.streaming import ingest
 
 #: The query of every search: the row with this id.
 QUERY = 7
@@ -124,6 +125,76 @@ def _batch(spark, sf_dir):
     return search.batch_top_k(fps, asked, 3, 0.4).select("query_id", "mol_id", "coeff", F.col("rank").cast("int").alias("rank"))
 
 
+def _batch_similarity(metric: str):
+    """Every row whose id is divisible by 20 as a query, against all rows."""
+
+    def query(spark, sf_dir):
+        fps = _signs(spark, sf_dir)
+        asked = fps.filter("mol_id % 20 = 0").select(F.col("mol_id").alias("query_id"), "words", "popcnt")
+        return _engine(spark, sf_dir).batch_similarity(asked, 0.45, metric)
+
+    return query
+
+
+def _batch_levels(spark, sf_dir):
+    fps = _levels(spark, sf_dir)
+    asked = fps.filter("mol_id % 20 = 0").select(F.col("mol_id").alias("query_id"), "words", "popcnt")
+    return search.batch_top_k(fps, asked, 5, 0.0, words=4).select("query_id", "mol_id", "coeff", F.col("rank").cast("int").alias("rank"))
+
+
+def _part_lines(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("mol_id"), F.col("p_name").alias("mol"))
+
+
+def _read_smiles(spark, sf_dir):
+    """Parts written as a file of lines "text id" and read as a SMILES file."""
+    path = f"{paths.scratch(spark, 'parts')}.smi"
+    _part_lines(spark, sf_dir).select(F.concat_ws(" ", "mol", "mol_id")).write.text(path)
+    return molecules.molecules(spark, path)
+
+
+def _read_sdf(spark, sf_dir):
+    """Parts written as SD records and read back; the name is the block's first line."""
+    path = f"{paths.scratch(spark, 'parts')}.sdf"
+    record = F.concat(F.col("mol"), F.lit("\n  x\n\n  0  0  0     0  0            999 V2000\nM  END\n>  <mol_id>\n"), F.col("mol_id").cast("string"), F.lit("\n\n"))
+    _part_lines(spark, sf_dir).select(record).write.option("lineSep", "$$$$\n").text(path)
+    return molecules.molecules(spark, path).select("mol_id", F.substring_index("mol", "\n", 1).alias("mol"))
+
+
+def _read_rows(spark, sf_dir):
+    """Nations as an iterable of (text, id)."""
+    nations = _table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()  # 25 rows at every size
+    return molecules.molecules(spark, [(r[0], r[1]) for r in nations])
+
+
+def _configured(spark, sf_dir):
+    """What a dataset records about itself, beside its number of rows."""
+    path = _dataset(spark, _signs(spark, sf_dir))
+    engine = FingerprintEngine(spark, path, in_memory=False)
+    return engine.table.agg(F.count("*").alias("mols")).select("mols", F.lit(engine.fp_type).alias("fp_type"), F.lit(engine.words).alias("words"), F.lit(int(engine.fp_params["fpSize"])).alias("fp_size"))
+
+
+def _streamed(spark, sf_dir):
+    """Half the rows stored, the other half added by a stream."""
+    fps = _signs(spark, sf_dir)
+    path, source = _dataset(spark, fps.filter("mol_id % 2 = 0")), paths.scratch(spark, "stream-source")
+    fps.filter("mol_id % 2 = 1").write.parquet(source)
+    rows = spark.readStream.schema(featurize.SCHEMA).parquet(source)
+    ingest.ingest(rows, lambda df: df, path, paths.scratch(spark, "stream-state")).awaitTermination()
+    return _hex(store.load(spark, path))
+
+
+def _stream_matched(spark, sf_dir):
+    """A stream of queries against the table, written to files and read back."""
+    fps = _signs(spark, sf_dir)
+    source, out = paths.scratch(spark, "query-source"), paths.scratch(spark, "matches")
+    fps.filter("mol_id % 20 = 0").write.parquet(source)
+    asked = spark.readStream.schema(featurize.SCHEMA).parquet(source).select(F.col("mol_id").alias("query_id"), "words", "popcnt")
+    found = ingest.match(asked, fps, 0.45)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", paths.scratch(spark, "query-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("query_id long, mol_id long, coeff float").parquet(out)
+
+
 def _keys(spark, sf_dir):
     lower = _table(spark, sf_dir, "part").withColumn("key_text", F.lower(F.concat_ws(" ", "p_name", "p_type")))
     fps = featurize.keys(lower, PART_KEYS, "p_partkey", "key_text")
@@ -175,6 +246,16 @@ def queries() -> dict:
         "export": _exported,
         "part_keys": _keys,
         "batch_top_k": _batch,
+        "batch_top_k_levels": _batch_levels,
+        "batch_sim_tanimoto": _batch_similarity("tanimoto"),
+        "batch_sim_dice": _batch_similarity("dice"),
+        "batch_sim_cosine": _batch_similarity("cosine"),
+        "read_smiles": _read_smiles,
+        "read_sdf": _read_sdf,
+        "read_rows": _read_rows,
+        "dataset_config": _configured,
+        "stream_ingest": _streamed,
+        "stream_match": _stream_matched,
         "sql_functions": _sql,
         "isim_counters": lambda s, d: isim.counters(_levels(s, d), 4),
         "isim_dict": lambda s, d: isim.set_similarity(_levels(s, d), 4).select(*[F.round(c, 9).alias(c) for c in ("jt", "rr", "sm")]),
@@ -210,6 +291,11 @@ def _hex_oracle(source: str, words: int, where: str = "true") -> str:
     return f"with {source} select mol_id, {words_of} as words, len(b)::int as popcnt from f where {where}"
 
 
+def _batch_oracle(metric: str) -> str:
+    pairs = "x as (select g.mol_id as query_id, f.mol_id, len(list_intersect(f.b, g.b)) as c, len(g.b) as q, len(f.b) as d from f, f as g where g.mol_id % 20 = 0)"
+    return f"with {_SIGN_BITS}, {pairs}, y as (select query_id, mol_id, {_COEFF[metric]} as coeff from x) select query_id, mol_id, coeff from y where coeff >= 0.45::float"
+
+
 _SUMS = f"with {_LEVEL_BITS}, n as (select count(*)::double as n from f), c as (select i.i, count(f.mol_id)::double as c from range(0, 256) i(i) left join (select mol_id, unnest(b) as i from f) f on f.i = i.i group by 1)"
 _COUNTERS = "t as (select any_value(n) as n, sum(c * (c - 1) / 2) as a, sum((n - c) * (n - c - 1) / 2) as d, sum(c * (n - c)) as dis from c, n)"
 _LEFT_OUT = f"{_SUMS}, o as (select f.mol_id, len(b) as popcnt, c.c - list_contains(b, i)::int as k, n - 1 as m from f, c, n), v as (select mol_id, any_value(popcnt) as popcnt, sum(k * (k - 1) / 2) as a, sum(k * (m - k)) as x, sum((m - k) * (m - k - 1) / 2) as d from o group by mol_id)"
@@ -256,6 +342,16 @@ def oracle_sql() -> dict[str, str]:
         "migrate": "select vec_id as mol_id, 64 as fp_size from embeddings",
         "part_keys": f"select p_partkey as mol_id, len(list_filter([{keys}], lambda k: contains(lower(concat_ws(' ', p_name, p_type)), k)))::int as popcnt from part",
         "batch_top_k": f"with {_SIGN_BITS}, x as (select g.mol_id as query_id, f.mol_id, len(list_intersect(f.b, g.b)) as c, len(g.b) as q, len(f.b) as d from f, f as g), y as (select query_id, mol_id, {_COEFF['tanimoto']} as coeff from x), z as (select *, (row_number() over (partition by query_id order by coeff desc, mol_id))::int as rank from y where coeff >= 0.4::float) select query_id, mol_id, coeff, rank from z where rank <= 3",
+        "batch_top_k_levels": f"with {_LEVEL_BITS}, x as (select g.mol_id as query_id, f.mol_id, len(list_intersect(f.b, g.b)) as c, len(g.b) as q, len(f.b) as d from f, f as g where g.mol_id % 20 = 0), y as (select query_id, mol_id, {_COEFF['tanimoto']} as coeff from x), z as (select *, (row_number() over (partition by query_id order by coeff desc, mol_id))::int as rank from y where coeff >= 0) select query_id, mol_id, coeff, rank from z where rank <= 5",
+        "batch_sim_tanimoto": _batch_oracle("tanimoto"),
+        "batch_sim_dice": _batch_oracle("dice"),
+        "batch_sim_cosine": _batch_oracle("cosine"),
+        "stream_match": _batch_oracle("tanimoto"),
+        "read_smiles": "select p_partkey::bigint as mol_id, p_name as mol from part",
+        "read_sdf": "select p_partkey::bigint as mol_id, p_name as mol from part",
+        "read_rows": "select n_nationkey::bigint as mol_id, n_name as mol from nation",
+        "dataset_config": "select count(*) as mols, 'bits' as fp_type, 1::int as words, 64::int as fp_size from embeddings",
+        "stream_ingest": signs,
         "sql_functions": f"with {_SIGN_BITS}, {_PAIR.format(id=QUERY)} select mol_id, {_COEFF['tanimoto']} as coeff, c = q as contains from x",
         "isim_counters": f"{_SUMS}, {_COUNTERS} select n, a, d, dis, a + d + dis as p from t",
         "isim_dict": f"{_SUMS}, {_COUNTERS} select round(a / (a + dis), 9) as jt, round(a / (a + d + dis), 9) as rr, round((a + d) / (a + d + dis), 9) as sm from t",

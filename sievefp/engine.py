@@ -28,9 +28,11 @@ class FingerprintEngine:
         elif jdbc is not None:
             if not in_memory:
                 raise ValueError("a JDBC table is searched in memory only")
+            config = config or store.jdbc_config(spark, jdbc["url"], jdbc["table"], jdbc.get("properties"))
             if config is None:
                 raise ValueError("a JDBC table needs its configuration")
             self.config = config
+            store.check_versions(self.config)
             self._table = store.read_jdbc(spark, words=config["words"], **jdbc)
         elif fps is not None and config is not None:
             self.config, self._table = config, fps
@@ -64,6 +66,16 @@ class FingerprintEngine:
     def words(self) -> int:
         return self.config["words"]
 
+    @property
+    def rdkit_version(self) -> str | None:
+        """The version of rdkit that the fingerprints were made with, if any."""
+        return self.config.get("rdkit_version")
+
+    @property
+    def version(self) -> str | None:
+        """The version of this package that wrote the dataset."""
+        return self.config.get("version")
+
     @property
     def popcount_bins(self) -> DataFrame:
         return store.popcount_bins(self._table)
@@ -90,28 +102,35 @@ class FingerprintEngine:
             raise ValueError(f"the query has {len(words)} words, the table {self.words}")
         return words
 
-    def similarity(self, query, threshold: float, metric: str = "tanimoto") -> DataFrame:
-        return search.similarity(self._table, self.load_query(query), threshold, metric)
+    def similarity(self, query, threshold: float, metric: str = "tanimoto", full_sanitization: bool = True) -> DataFrame:
+        return search.similarity(self._table, self.load_query(query, full_sanitization), threshold, metric)
 
-    def top_k(self, query, k: int, threshold: float = 0.0, metric: str = "tanimoto") -> DataFrame:
-        return search.top_k(self._table, self.load_query(query), k, threshold, metric)
+    def top_k(self, query, k: int, threshold: float = 0.0, metric: str = "tanimoto", full_sanitization: bool = True) -> DataFrame:
+        return search.top_k(self._table, self.load_query(query, full_sanitization), k, threshold, metric)
 
-    def tversky(self, query, threshold: float, a: float, b: float) -> DataFrame:
-        return search.tversky(self._table, self.load_query(query), threshold, a, b)
+    def tversky(self, query, threshold: float, a: float, b: float, full_sanitization: bool = True) -> DataFrame:
+        return search.tversky(self._table, self.load_query(query, full_sanitization), threshold, a, b)
 
-    def substructure(self, query) -> DataFrame:
-        return search.substructure(self._table, self.load_query(query))
+    def substructure(self, query, full_sanitization: bool = True) -> DataFrame:
+        return search.substructure(self._table, self.load_query(query, full_sanitization))
 
-    def device_similarity(self, query, threshold: float) -> DataFrame:
-        return search.device_similarity(self._table, self.load_query(query), threshold)
+    def device_similarity(self, query, threshold: float, full_sanitization: bool = True) -> DataFrame:
+        return search.device_similarity(self._table, self.load_query(query, full_sanitization), threshold)
 
     # the same plans without the cache: build the engine with in_memory=False
     on_disk_similarity, on_disk_top_k, on_disk_tversky, on_disk_substructure = similarity, top_k, tversky, substructure
 
+    def _asked(self, queries) -> DataFrame:
+        if isinstance(queries, DataFrame):
+            return queries
+        queries = self.spark.createDataFrame([(i, self.load_query(w)) for i, w in queries], "query_id long, words array<long>")
+        return queries.withColumn("popcnt", bits.popcount(F.col("words")))
+
+    def batch_similarity(self, queries: Sequence[tuple[int, Sequence[int]]] | DataFrame, threshold: float, metric: str = "tanimoto") -> DataFrame:
+        return search.batch_similarity(self._table, self._asked(queries), threshold, metric, self.words)
+
     def batch_top_k(self, queries: Sequence[tuple[int, Sequence[int]]] | DataFrame, k: int, threshold: float, metric: str = "tanimoto") -> DataFrame:
-        if not isinstance(queries, DataFrame):
-            queries = self.spark.createDataFrame([(i, self.load_query(w)) for i, w in queries], "query_id long, words array<long>")
-            queries = queries.withColumn("popcnt", bits.popcount(F.col("words")))
+        queries = self._asked(queries)
         return search.batch_top_k(self._table, queries, k, threshold, metric, self.words)
 
     def symmetric_distance_matrix(self, threshold: float, metric: str = "tanimoto") -> DataFrame:

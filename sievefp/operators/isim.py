@@ -19,20 +19,19 @@ def column_sums(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(bits.on_bits(F.col("words"))).alias("bit")).groupBy("bit").agg(F.count("*").alias("c"))
 
 
+def _sums(fps: DataFrame, words: int) -> tuple[int, list[int]]:
+    """(rows, column sums): one pass; the driver gets at most 64 * words + 1 numbers."""
+    places = F.concat(F.array(F.lit(-1)), bits.on_bits(F.col("words")))
+    found = {r["bit"]: r["count"] for r in fps.select(F.explode(places).alias("bit")).groupBy("bit").count().collect()}
+    return found.get(-1, 0), [found.get(i, 0) for i in range(64 * words)]
+
+
 def counters(fps: DataFrame, words: int, k: int = 1) -> DataFrame:
     """One row: n, a, d, dis, p; every bit's share is taken to the power 1 / k."""
-    n = fps.agg(F.count("*").cast("double").alias("n"))
-    c, n_ = F.col("c").cast("double"), F.col("n")
-    part = lambda x: F.sum(F.pow(x, F.lit(1.0 / k)))
-    sums = column_sums(fps).join(F.broadcast(n)).groupBy("n").agg(
-        part(c * (c - 1) / 2).alias("a"), part((n_ - c) * (n_ - c - 1) / 2).alias("d"), part(c * (n_ - c)).alias("dis"), F.count("*").alias("used")
-    )
-    unused = (F.lit(64 * words) - F.coalesce("used", F.lit(0))) * F.pow(n_ * (n_ - 1) / 2, F.lit(1.0 / k))
-    # one row on each side; a set without any bit has no sums
-    full = n.join(F.broadcast(sums.withColumnRenamed("n", "sn")), F.col("n") == F.col("sn"), "left")
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
-    out = full.select("n", zero("a").alias("a"), (zero("d") + unused).alias("d"), zero("dis").alias("dis"))
-    return out.withColumn("p", F.col("a") + F.col("d") + F.col("dis"))
+    n, sums = _sums(fps, words)
+    part = lambda of: float(sum(of(c) ** (1.0 / k) for c in sums))
+    a, d, dis = part(lambda c: c * (c - 1) / 2), part(lambda c: (n - c) * (n - c - 1) / 2), part(lambda c: c * (n - c))
+    return fps.sparkSession.createDataFrame([(float(n), a, d, dis, a + d + dis)], "n double, a double, d double, dis double, p double")
 
 
 def set_similarity(fps: DataFrame, words: int, k: int = 1) -> DataFrame:
@@ -46,31 +45,23 @@ def complementary(fps: DataFrame, words: int, index: str = "RR") -> DataFrame:
     """mol_id, index: the set's index without each row in turn; null for fewer than 3 rows."""
     if index not in ("RR", "JT", "SM"):
         raise ValueError("index must be RR, JT or SM")
-    sums = column_sums(fps)
-    # everything below is one row, or 64 * words rows: small by definition
-    base = counters(fps, words).select((F.col("n") - 1).alias("rest"))
-    c, n = F.col("c").cast("double"), F.col("rest")
-    totals = sums.join(F.broadcast(base)).groupBy("rest").agg(
-        F.sum(c * (c - 1) / 2).alias("a0"),
-        F.sum(c * (n - c)).alias("x0"),
-        F.sum((n - c) * (n - c - 1) / 2).alias("d0"),
-        F.count("*").alias("used"),
-    )
-    unused = (F.lit(64 * words) - F.col("used")) * n * (n - 1) / 2
-    per_bit = sums.join(F.broadcast(base)).select("bit", (c - 1).alias("da"), (c - n).alias("dx"), (n - c * 2 + 1).alias("ds"))
-    set_bits = fps.select("mol_id", "popcnt", F.explode_outer(bits.on_bits(F.col("words"))).alias("bit"))
-    own = set_bits.join(F.broadcast(per_bit), "bit", "left").groupBy("mol_id", "popcnt").agg(
-        *[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in ("da", "dx", "ds")]
-    )
-    both = own.join(F.broadcast(totals))
-    a = F.col("a0") - F.col("da")
-    pairs = F.nullif(F.lit(64.0 * words) * n * (n - 1) / 2, F.lit(0.0))
+    n, sums = _sums(fps, words)
+    rest = n - 1
+    if rest < 2:
+        return fps.select("mol_id", "popcnt", F.lit(None).cast("double").alias("index"))
+    a0, x0, d0 = (float(sum(of(c) for c in sums)) for of in (lambda c: c * (c - 1) / 2, lambda c: c * (rest - c), lambda c: (rest - c) * (rest - c - 1) / 2))
+    # without a row, a column it sets loses one: what changes depends on the sum of its columns' sums
+    counts = F.array(*[F.lit(float(c)) for c in sums])
+    held = F.aggregate(bits.on_bits(F.col("words")), F.lit(0.0), lambda s, i: s + F.get(counts, i))
+    own = F.size(bits.on_bits(F.col("words"))).cast("double")
+    a = F.lit(a0) - (held - own)
+    pairs = F.lit(64.0 * words * rest * (rest - 1) / 2)
     value = {
         "RR": a / pairs,
-        "JT": a / F.nullif(F.col("a0") + F.col("x0") + F.col("dx"), F.lit(0.0)),
-        "SM": (F.col("a0") + F.col("d0") + unused + F.col("ds")) / pairs,
+        "JT": a / F.nullif(F.lit(a0 + x0) + held - own * rest, F.lit(0.0)),
+        "SM": (F.lit(a0 + d0) + own * (rest + 1) - held * 2) / pairs,
     }[index]
-    return both.select("mol_id", "popcnt", F.when(n > 1, value).alias("index"))
+    return fps.select("mol_id", "popcnt", value.alias("index"))
 
 
 def medoid(fps: DataFrame, words: int, index: str = "RR") -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievefp.functions import bits, metrics
-from sievefp.plans.bounds import partner_limit, popcount_range
+from sievefp.operators import tiles
+from sievefp.plans.bounds import popcount_range
 
 
 def _bits(words: Sequence[int]) -> int:
@@ -71,21 +72,21 @@ def device_similarity(fps: DataFrame, words: Sequence[int], threshold: float) ->
     return similarity(fps, words, threshold).filter(F.col("coeff") > 0)
 
 
+def batch_similarity(fps: DataFrame, queries: DataFrame, threshold: float, metric: str = "tanimoto", words: int = 1) -> DataFrame:
+    """query_id, mol_id, coeff: every row that reaches the threshold for each query
+    (query_id, words, popcnt)."""
+    metrics.check(metric)
+    return tiles.best_matches(fps, queries, None, threshold, metric, 64 * words)
+
+
 def batch_top_k(fps: DataFrame, queries: DataFrame, k: int, threshold: float, metric: str = "tanimoto", words: int = 1) -> DataFrame:
-    """query_id, mol_id, coeff: the k best rows for each query (query_id, words, popcnt).
+    """query_id, mol_id, coeff, rank: the k best rows for each query (query_id, words, popcnt)
+    of those that reach the threshold; ties rank by mol_id.
 
-    Queries meet rows by popcount: each is dealt to the popcounts that may reach the
-    threshold, which makes the join an equi-join.
+    Queries meet rows block by block, and a block pair gives the k best of each query only.
     """
     metrics.check(metric)
-    width = 64 * words
-    ranges = [popcount_range(metric, q, threshold, width) for q in range(width + 1)]
-    low = F.element_at(F.array(*[F.lit(r[0] if r else 1) for r in ranges]), F.col("query_popcnt") + 1)
-    high = F.element_at(F.array(*[F.lit(r[1] if r else 0) for r in ranges]), F.col("query_popcnt") + 1)
-    asked = queries.select("query_id", F.col("words").alias("query_words"), F.col("popcnt").alias("query_popcnt"))
-    dealt = asked.withColumns({"low": low, "high": high}).filter("low <= high").withColumn("popcnt", F.explode(F.sequence("low", "high"))).drop("low", "high")
-    coeff = metrics.coefficient(metric, bits.common(F.col("words"), F.col("query_words")), F.col("query_popcnt"), F.col("popcnt"))
-    found = fps.join(dealt, "popcnt").select("query_id", "mol_id", coeff.alias("coeff")).filter(metrics.at_least(F.col("coeff"), threshold))
+    found = tiles.best_matches(fps, queries, k, threshold, metric, 64 * words)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coeff"), "mol_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -94,19 +95,11 @@ def distance_matrix(fps: DataFrame, threshold: float, metric: str = "tanimoto",
     """i, j, dist (1 - coefficient) of all ordered pairs of different rows that reach the
     threshold, as a sparse symmetric matrix by mol_id; the diagonal is left out.
 
-    Each row is dealt to the popcounts of its possible partners, so pairs meet in an
-    equi-join; the lower triangle mirrors the upper one.  With a threshold of 0 every pair is
-    part of the result.  mol_id must be unique.
+    Blocks of rows are compared pair by pair; the lower triangle mirrors the upper one.  With
+    a threshold of 0 every pair is part of the result.  mol_id must be unique.
     """
     metrics.check(metric)
-    width = 64 * words
-    limits = F.array(*[F.lit(partner_limit(metric, p, threshold, width)) for p in range(width + 1)])
-    left = fps.select(F.col("mol_id").alias("i"), F.col("words").alias("words_i"), F.col("popcnt").alias("bits_i"), F.element_at(limits, F.col("popcnt") + 1).alias("most"))
-    left = left.filter("most >= bits_i").withColumn("popcnt", F.explode(F.sequence("bits_i", "most"))).drop("most")
-    right = fps.select(F.col("mol_id").alias("j"), "words", "popcnt")
-    later = (F.col("popcnt") > F.col("bits_i")) | (F.col("j") > F.col("i"))
-    coeff = metrics.coefficient(metric, bits.common(F.col("words_i"), F.col("words")), F.col("bits_i"), F.col("popcnt"))
-    half = left.join(right, "popcnt").filter(later).select("i", "j", coeff.alias("coeff")).filter(metrics.at_least(F.col("coeff"), threshold))
+    half = tiles.half_matrix(fps, threshold, metric, 64 * words)
     half = half.select("i", "j", (F.lit(1.0).cast("float") - F.col("coeff")).alias("dist"))
     pair = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
     return half.select(pair.alias("p"), "dist").select("p.i", "p.j", "dist")

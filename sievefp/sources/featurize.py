@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,11 @@ SCHEMA = StructType([StructField("mol_id", LongType()), StructField("words", Arr
 # Fingerprint types and their default parameters.
 DEFAULTS = {
     "MACCSKeys": {},
-    "Morgan": {"radius": 3, "fpSize": 2048, "countSimulation": False, "includeChirality": False, "useBondTypes": True, "onlyNonzeroInvariants": False, "includeRingMembership": True},
-    "TopologicalTorsion": {"fpSize": 2048, "torsionAtomCount": 4, "countSimulation": True, "includeChirality": False, "onlyShortestPaths": False},
-    "AtomPair": {"fpSize": 2048, "minDistance": 1, "maxDistance": 30, "countSimulation": True, "includeChirality": False, "use2D": True},
+    "Morgan": {"radius": 3, "fpSize": 2048, "countSimulation": False, "includeChirality": False, "useBondTypes": True, "onlyNonzeroInvariants": False, "includeRingMembership": True, "includeRedundantEnvironments": False},
+    "TopologicalTorsion": {"fpSize": 2048, "includeChirality": False, "torsionAtomCount": 4, "countSimulation": True},
+    "AtomPair": {"fpSize": 2048, "minDistance": 1, "maxDistance": 30, "includeChirality": False, "use2D": True, "countSimulation": True},
     "RDKit": {"fpSize": 2048, "minPath": 1, "maxPath": 7, "useHs": True, "branchedPaths": True, "useBondOrder": True, "countSimulation": False, "numBitsPerFeature": 2},
-    "RDKitPattern": {"fpSize": 2048},
+    "RDKitPattern": {"fpSize": 2048, "tautomerFingerprints": False},
 }
 MACCS_BITS = 166
 
@@ -74,9 +75,28 @@ def thermometer(df: DataFrame, levels: tuple[float, ...] = (-0.1, 0.0, 0.1, 0.2)
 
 def hashed_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 2048) -> DataFrame:
     """A bit for each distinct blank-separated token, at the first 16 bits of its MD5 modulo width."""
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda t: t != "")
-    place = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(width)))
-    return from_positions(df, id, F.array_distinct(place), width // 64)
+    packed = df.select(F.col(id).cast("long").alias("mol_id"), _token_packer(width)(F.col(text)).alias("words"))
+    return packed.withColumn("popcnt", bits.popcount(F.col("words")))
+
+
+def _token_packer(width: int):
+    import hashlib
+    from functools import lru_cache
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(texts):
+        place = lru_cache(1 << 18)(lambda t: int.from_bytes(hashlib.md5(t.encode()).digest()[:2], "big") % width)
+        for some in texts:
+            lists = [list(map(place, {*text.split(" ")} - {""})) if text else [] for text in some.to_pylist()]
+            out = np.zeros((len(lists), width), np.uint8)
+            out[np.repeat(np.arange(len(lists)), [len(p) for p in lists]), np.array([x for p in lists for x in p], np.int64)] = 1
+            words = np.packbits(out, axis=1).view(">i8").astype("<i8")
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * (width // 64), pa.int32()), pa.array(words.ravel()))
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<long>")
 
 
 def keys(df: DataFrame, patterns: list[str], id: str, text: str) -> DataFrame:
@@ -90,6 +110,7 @@ def keys(df: DataFrame, patterns: list[str], id: str, text: str) -> DataFrame:
 
 def molecule_format(text: str) -> str:
     """molfile, inchi or smiles, by what the text looks like."""
+    # Fixed value: the end of a molfile's counts line.
     if re.search(r" [vV][23]000$", text, re.MULTILINE):
         return "molfile"
     return "inchi" if text.startswith("InChI=") else "smiles"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievefp import paths
+
 
 def smiles_file(spark: SparkSession, path: str) -> DataFrame:
     """Lines "SMILES id", split at the last white space; compressed files are read as such.
@@ -31,15 +34,26 @@ def sd_file(spark: SparkSession, path: str, id_property: str = "mol_id") -> Data
     return records.select(number.alias("mol_id"), block.alias("mol"))
 
 
-def rows(spark: SparkSession, source: Iterable, format: str = "smiles") -> DataFrame:
-    """An iterable of (mol, id): text, or rdkit molecules with format "rdkit"."""
+def rows(spark: SparkSession, source: Iterable, format: str = "smiles", at_once: int = 100_000) -> DataFrame:
+    """An iterable of (mol, id): text, or rdkit molecules with format "rdkit".
+
+    The driver holds at most ``at_once`` rows; more go to the shared folder as they come."""
     if format not in ("smiles", "inchi", "molfile", "rdkit"):
         raise ValueError(f"{format} is not a molecule format")
     if format == "rdkit":
         from rdkit import Chem
 
         source = ((Chem.MolToMolBlock(m), i) for m, i in source)
-    return spark.createDataFrame([(int(i), m) for m, i in source], "mol_id long, mol string")
+    left, path = iter(source), None
+    while True:
+        some = [(int(i), m) for m, i in itertools.islice(left, at_once)]
+        df = spark.createDataFrame(some, "mol_id long, mol string")
+        if path is None and len(some) < at_once:
+            return df
+        path = path or paths.scratch(spark, "molecules")
+        df.write.mode("append").parquet(path)
+        if len(some) < at_once:
+            return spark.read.schema(df.schema).parquet(path)
 
 
 def molecules(spark: SparkSession, source, format: str | None = None, id_property: str = "mol_id") -> DataFrame:

@@ -1,8 +1,10 @@
 """Fingerprint datasets: Parquet laid out by popcount, with their configuration beside it.
 
-A dataset is a folder of Parquet files and _fingerprints.json (type, parameters, versions,
-words).  Rows lie in ranges of popcount, sorted inside each file, so a popcount range reads
-few row groups.  Changes are written to a new folder that takes the old one's place.
+A dataset is a folder with _fingerprints.json (type, parameters, versions, words, and the
+names of the data folders that make it up) and those folders.  Rows lie in ranges of popcount,
+sorted inside each file, so a popcount range reads few row groups.  Every change writes a new
+data folder and then puts a new _fingerprints.json in place: a change that fails on the way
+leaves the dataset as it was, and readers see it before or after.  One writer at a time.
 """
 
 from __future__ import annotations
@@ -35,17 +37,27 @@ def make_config(fp_type: str, params: dict, words: int) -> dict:
     return {"fp_type": fp_type, "fp_params": dict(params), "rdkit_version": featurize.chemistry_version(), "version": __version__, "words": words}
 
 
+def _settings(config: dict) -> dict:
+    return {k: v for k, v in config.items() if k != "data"}
+
+
 def by_popcount(fps: DataFrame) -> DataFrame:
     return fps.select("mol_id", "words", "popcnt").repartitionByRange("popcnt", "mol_id").sortWithinPartitions("popcnt", "mol_id")
 
 
+def _add(fps: DataFrame, path: str, config: dict, name: str | None = None) -> dict:
+    """Writes rows as one more data folder of config; nothing reads it yet."""
+    name = name or f"data-{uuid.uuid4().hex}"
+    fps.select("mol_id", "words", "popcnt").write.mode("overwrite").parquet(f"{path}/{name}")
+    return config | {"data": [*config.get("data", []), name]}
+
+
 def create(fps: DataFrame, path: str, config: dict, sort_by_popcount: bool = True) -> None:
     """Writes a new dataset of fingerprints."""
     spark = fps.sparkSession
-    if paths.exists(spark, path):
+    if paths.exists(spark, f"{path}/{_CONFIG}"):
         raise FileExistsError(path)
-    (by_popcount(fps) if sort_by_popcount else fps.select("mol_id", "words", "popcnt")).write.parquet(path)
-    write_config(spark, path, config)
+    write_config(spark, path, _add(by_popcount(fps) if sort_by_popcount else fps, path, _settings(config)))
 
 
 def create_from_molecules(spark: SparkSession, source, path: str, fp_type: str, fp_params: dict | None = None, mol_format: str | None = None, id_property: str = "mol_id", sort_by_popcount: bool = True, full_sanitization: bool = True) -> None:
@@ -59,14 +71,16 @@ def create_from_molecules(spark: SparkSession, source, path: str, fp_type: str,
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(featurize.SCHEMA).parquet(path)
+    folders = [f"{path}/{name}" for name in read_config(spark, path)["data"]]
+    return spark.read.schema(featurize.SCHEMA).parquet(*folders)
 
 
 def _replace(spark: SparkSession, path: str, fps: DataFrame, config: dict) -> None:
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    fps.write.parquet(new)
-    write_config(spark, new, config)
-    paths.replace_folder(spark, new, path)
+    """Makes fps the only data folder; the others go once the new configuration is in place."""
+    before = config["data"]
+    write_config(spark, path, _add(fps, path, _settings(config)))
+    for name in before:
+        paths.remove(spark, f"{path}/{name}")
 
 
 def sort(spark: SparkSession, path: str) -> None:
@@ -75,10 +89,12 @@ def sort(spark: SparkSession, path: str) -> None:
     _replace(spark, path, by_popcount(load(spark, path)), config | {"version": __version__, "rdkit_version": featurize.chemistry_version()})
 
 
-def append(fps: DataFrame, path: str) -> None:
-    """Adds rows as new files; searches need no sort afterwards."""
-    read_config(fps.sparkSession, path)
-    fps.select("mol_id", "words", "popcnt").write.mode("append").parquet(path)
+def append(fps: DataFrame, path: str, name: str | None = None) -> None:
+    """Adds rows as a new data folder; searches need no sort afterwards.  A folder of a name
+    that the dataset has already is not added again."""
+    config = read_config(fps.sparkSession, path)
+    if name is None or name not in config["data"]:
+        write_config(fps.sparkSession, path, _add(fps, path, config, name))
 
 
 def delete(spark: SparkSession, path: str, ids) -> None:
@@ -93,7 +109,7 @@ def merge(spark: SparkSession, inputs: list[str], path: str, sort_by_popcount: b
     """All rows of two or more datasets of the same configuration; ids are not compared."""
     if len(inputs) < 2:
         raise ValueError("at least two datasets are needed")
-    configs = [read_config(spark, p) for p in inputs]
+    configs = [_settings(read_config(spark, p)) for p in inputs]
     if any(c != configs[0] for c in configs):
         raise ValueError("the datasets have different configurations")
     fps = load(spark, inputs[0])
@@ -120,20 +136,50 @@ def popcount_bins(fps: DataFrame) -> DataFrame:
 
 
 def write_jdbc(fps: DataFrame, url: str, table: str, config: dict, properties: dict | None = None) -> None:
-    """Creates a table mol_id, fp_0.., popcnt or adds rows to it, 64 000 at a time."""
+    """Creates a table mol_id, fp_0.., popcnt or adds rows to it, 64 000 at a time.
+
+    The configuration goes to a table of one row, named like the table with _config; rows are
+    added only to a table of the same configuration."""
+    spark = fps.sparkSession
+    known = jdbc_config(spark, url, table, properties)
+    if known is None:
+        rows = spark.createDataFrame([(json.dumps(_settings(config)),)], "config string")
+        rows.write.option("createTableColumnTypes", "config VARCHAR(4000)").jdbc(url, f"{table}_config", properties=properties or {})
+    elif known != _settings(config):
+        raise ValueError(f"{table} has another configuration")
     wide = fps.select("mol_id", *[F.get("words", F.lit(i)).alias(f"fp_{i}") for i in range(config["words"])], F.col("popcnt").cast("long").alias("popcnt"))
     wide.write.mode("append").option("batchsize", 64_000).jdbc(url, table, properties=properties or {})
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, words: int, bounds: tuple[int, int] | None = None, partitions: int = 1, schema: str | None = None, properties: dict | None = None) -> DataFrame:
-    """A table of write_jdbc, read in ranges of mol_id where bounds are given."""
+def jdbc_config(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> dict | None:
+    """The configuration stored with a table; None where there is none."""
+    try:
+        row = spark.read.jdbc(url, f"{table}_config", properties=properties or {}).first()
+    except Exception as failed:  # each database has its own error for a table that is not there
+        if "config" in str(failed).lower():
+            return None
+        raise
+    return json.loads(row[0])
+
+
+def jdbc_ids(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> tuple[int, int] | None:
+    """(least, greatest) mol_id of a table, found by the database; None if it is empty.  Rows
+    with greater ids are what an incremental load adds."""
+    row = spark.read.jdbc(url, f"(SELECT MIN(mol_id) AS low, MAX(mol_id) AS high FROM {table}) ids", properties=properties or {}).first()
+    return None if row[0] is None else (int(row[0]), int(row[1]))
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, words: int, bounds: tuple[int, int] | None = None, partitions: int | None = None, schema: str | None = None, properties: dict | None = None) -> DataFrame:
+    """A table of write_jdbc, read in ranges of mol_id: from bounds, or from what the database
+    says, in as many parts as there are cores."""
     reader = spark.read.option("fetchsize", 64_000)
     name = f"{schema}.{table}" if schema else table
-    if bounds:
-        wide = reader.jdbc(url, name, column="mol_id", lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions, properties=properties or {})
-    else:
-        wide = reader.jdbc(url, name, properties=properties or {})
-    return wide.select(F.col("mol_id").cast("long").alias("mol_id"), F.array(*[F.col(f"fp_{i}").cast("long") for i in range(words)]).alias("words"), F.col("popcnt").cast("int").alias("popcnt"))
+    low, high = bounds or jdbc_ids(spark, url, name, properties) or (0, 0)
+    parts = max(1, min(partitions or spark.sparkContext.defaultParallelism, high - low + 1))
+    wide = reader.jdbc(url, name, column="mol_id", lowerBound=low, upperBound=high + 1, numPartitions=parts, properties=properties or {})
+    columns = {c.lower(): c for c in wide.columns}
+    of = lambda c: F.col(columns[c])
+    return wide.select(of("mol_id").cast("long").alias("mol_id"), F.array(*[of(f"fp_{i}").cast("long") for i in range(words)]).alias("words"), of("popcnt").cast("int").alias("popcnt"))
 
 
 def check_versions(config: dict) -> None:

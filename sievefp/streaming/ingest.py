@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,14 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sievefp.functions import bits, metrics
+from sievefp.sources import store
 
 
 def ingest(rows: DataFrame, featurizer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Fingerprints of a stream of rows, appended to a dataset; each batch is one file set.
+    """Fingerprints of a stream of rows, appended to a dataset of store.create.
 
-    The file sink commits each batch once, also after a restart from the checkpoint."""
-    fps = featurizer(rows).select("mol_id", "words", "popcnt")
-    return fps.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    Each batch is one data folder, named by the checkpoint and the batch, so that a batch that
+    is done again after a restart is added once.  What the dataset holds already stays."""
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def add(batch: DataFrame, number: int) -> None:
+        store.append(featurizer(batch), path, f"stream-{stream}-{number}")
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def match(queries: DataFrame, fps: DataFrame, threshold: float, metric: str = "tanimoto") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievefp.engine import FingerprintEngine
 from sievefp.functions import bits, metrics, sql
-from sievefp.operators import isim, search
+from sievefp.operators import isim, search, tiles
 from sievefp.plans.bounds import partner_limit, popcount_range
 from sievefp.sources import featurize, store
 
@@ -138,6 +138,21 @@ def test_matrix_is_brute_force(fps, rows, metric, threshold):
     assert all(r.dist == np.float32(1) - coeff(metric, positions[r.i], positions[r.j]) for r in got)
 
 
+@pytest.mark.parametrize("metric", metrics.SYMMETRIC)
+def test_tiles_of_any_size_find_the_same(fps, metric):
+    same = lambda df: sorted(map(tuple, df.collect()))
+    unordered = lambda df: same(df.select(F.least("i", "j"), F.greatest("i", "j"), "coeff"))
+    assert unordered(tiles.half_matrix(fps, 0.4, metric, 128, tile=7)) == unordered(tiles.half_matrix(fps, 0.4, metric, 128))
+    asked = fps.filter("mol_id % 20 = 0").select(F.col("mol_id").alias("query_id"), "words", "popcnt")
+    whole = search.batch_similarity(fps, asked, 0.4, metric, 2)
+    assert same(tiles.best_matches(fps, asked, None, 0.4, metric, 128, tile=7)) == same(whole)
+    assert set(same(search.batch_top_k(fps, asked, 2, 0.4, metric, 2).drop("rank"))) <= set(same(whole))
+
+
+def test_strips_cut_a_common_popcount():
+    assert tiles.strips({1: 3, 2: 4, 3: 100, 5: 1}, 8) == [(1, 2, 1), (3, 3, 13), (5, 5, 1)]
+
+
 def test_batch_equals_single_searches(fps, rows):
     asked = fps.filter("mol_id < 5").select(F.col("mol_id").alias("query_id"), "words", "popcnt")
     got = search.batch_top_k(fps, asked, 3, 0.3, words=2).collect()

@@ -64,6 +64,7 @@ def test_parameters():
     given = {"radius": 2}
     made = featurize.with_defaults("Morgan", given)
     assert made["radius"] == 2 and made["fpSize"] == 2048 and given == {"radius": 2}
+    assert "includeRedundantEnvironments" in made and list(featurize.DEFAULTS["TopologicalTorsion"]) == ["fpSize", "includeChirality", "torsionAtomCount", "countSimulation"]
     assert featurize.words_of("MACCSKeys", {}) == 3
     with pytest.raises(ValueError):
         featurize.with_defaults("Other", {})
@@ -88,6 +89,68 @@ def test_lifecycle(spark, tmp_path):
         store.read_config(spark, str(tmp_path))
 
 
+@pytest.mark.parametrize("change", [store.sort, lambda s, p: store.delete(s, p, [3]), lambda s, p: store.append(fps(s, [9]), p)])
+@pytest.mark.parametrize("step", ["write_config", "remove"])
+def test_a_change_that_fails_loses_nothing(spark, tmp_path, monkeypatch, change, step):
+    path = str(tmp_path / "set")
+    store.create(fps(spark, [5, 3]), path, config())
+
+    def fail(*_):
+        raise OSError("the driver died")
+
+    before = ids(store.load(spark, path))
+    if step == "write_config":
+        monkeypatch.setattr(store, "write_config", fail)
+        with pytest.raises(OSError):
+            change(spark, path)
+        assert ids(store.load(spark, path)) == before
+    else:
+        monkeypatch.setattr(store.paths, "remove", fail)
+        try:
+            change(spark, path)
+        except OSError:
+            pass
+        assert set(ids(store.load(spark, path))) in ({3, 5}, {5}, {3, 5, 9})
+    monkeypatch.undo()
+    change(spark, path)
+    assert 5 in ids(store.load(spark, path))
+
+
+def test_jdbc(spark):
+    from sievefp.engine import FingerprintEngine
+
+    url, driver = "jdbc:derby:memory:fps;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    assert store.jdbc_config(spark, url, "mols", driver) is None
+    store.write_jdbc(fps(spark, [5, 3, -9]), url, "mols", config(), driver)
+    store.write_jdbc(fps(spark, [70]), url, "mols", config(), driver)
+    assert store.jdbc_config(spark, url, "mols", driver) == config() and store.jdbc_ids(spark, url, "mols", driver) == (-9, 70)
+    with pytest.raises(ValueError, match="another configuration"):
+        store.write_jdbc(fps(spark, [1]), url, "mols", config() | {"fp_type": "other"}, driver)
+    back = store.read_jdbc(spark, url, "mols", 2, properties=driver)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, fps(spark, [5, 3, -9, 70]).collect()))
+    assert back.rdd.getNumPartitions() > 1
+    engine = FingerprintEngine(spark, jdbc={"url": url, "table": "mols", "properties": driver})
+    assert engine.similarity(engine.query_of(3), 1.0).first().mol_id == 3 and engine.version and engine.words == 2
+    with pytest.raises(ValueError):
+        FingerprintEngine(spark, jdbc={"url": url, "table": "absent", "properties": driver})
+    with pytest.raises(ValueError):
+        FingerprintEngine(spark, jdbc={"url": url, "table": "mols", "properties": driver}, in_memory=False)
+
+
+def test_versions_are_compared(spark, tmp_path):
+    from sievefp.engine import FingerprintEngine
+
+    path = str(tmp_path / "old")
+    store.create(fps(spark, [1]), path, config() | {"version": "0.0"})
+    with pytest.warns(UserWarning, match="0.0"):
+        assert FingerprintEngine(spark, path, in_memory=False).version == "0.0"
+
+
+def test_many_rows_of_an_iterable(spark):
+    got = molecules.rows(spark, ((f"m{i}", i) for i in range(25)), at_once=10)
+    assert sorted(map(tuple, got.collect())) == [(i, f"m{i}") for i in range(25)]
+
+
 def test_merge_and_migrate(spark, tmp_path):
     one, two, both, new = (str(tmp_path / n) for n in ("one", "two", "both", "new"))
     store.create(fps(spark, [1, 2]), one, store.make_config("bits", {"nBits": 128}, 2))
@@ -118,7 +181,10 @@ def test_streams(spark, tmp_path):
     fps(spark, [2, 3]).write.parquet(source)
     rows = spark.readStream.schema(featurize.SCHEMA).parquet(source)
     ingest.ingest(rows, lambda df: df, path, str(tmp_path / "state")).awaitTermination()
-    assert sorted(r.mol_id for r in spark.read.schema(featurize.SCHEMA).parquet(path).collect()) == [2, 3]
+    assert ids(store.load(spark, path)) == [1, 2, 3]
+    store.append(fps(spark, [4]), path)
+    store.append(fps(spark, [2, 3]), path, store.read_config(spark, path)["data"][1])  # a batch that is done again
+    assert ids(store.load(spark, path)) == [1, 2, 3, 4]
     asked = spark.readStream.schema(featurize.SCHEMA).parquet(source).select(F.col("mol_id").alias("query_id"), "words", "popcnt")
     query = ingest.match(asked, fps(spark, [2, 3, 4]), 0.99).writeStream.format("memory").queryName("matched").outputMode("append").start()
     query.processAllAvailable()
