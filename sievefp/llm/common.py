@@ -15,7 +15,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -57,19 +57,25 @@ def _shuffles_removed(spark: SparkSession):
                 spark.conf.set(_CLEAN, _cleaning["before"])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *told) -> DataFrame:
     """Cut lineage: df written as a Parquet table in the shared folder and read again.
 
     Once it is written nothing reads its shuffle files any more, so Spark may remove them.
+    The write counts the rows, and takes further aggregates where told names any.
     """
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark, path, seen = df.sparkSession, new_path(df.sparkSession, name), Observation()
     with _shuffles_removed(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *told).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
+    out._stored_at, out._told = path, seen.get
     return out
 
 
+def told(df: DataFrame, name: str = "rows"):
+    """What the write of a stored table counted: its rows, or an aggregate given to stored."""
+    return df._told[name]
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Removes tables that ``stored`` has written and that nothing reads any more."""
     for df in tables:

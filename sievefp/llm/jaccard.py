@@ -9,8 +9,8 @@ shingle's places (positional filter) leave enough room for the overlap, and if t
 the sets' parts in the hash range do (suffix filter).  Pairs are verified once each on the
 whole sets, made again from the texts.
 
-What is returned are components, so a pair whose documents are already connected need not be
-verified.  Of the documents that share a prefix shingle, each round compares one, the hub,
+What is returned are components, so a pair whose documents are known to be connected need not
+be verified: those near one another in the links found so far.  Of the documents that share a prefix shingle, each round compares one, the hub,
 with all others and then leaves it out; shingles whose documents are connected, or of which
 one document is left, drop out.  After HUB_ROUNDS all pairs of what is left that are still
 between different components are verified.  A large group of near copies thus takes few
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import SPACES, U64, byte_table, drop, fresh, mix, named, shuffles, slabs, stored, summed_counts, text_key, with_documents, word_hashes
-from sievefp.llm.graph import components
+from sievefp.llm.common import SPACES, U64, byte_table, drop, fresh, mix, named, shuffles, slabs, stored, summed_counts, text_key, told, with_documents, word_hashes
+from sievefp.llm.graph import components, labels
 
 RARITY_SLOTS = 1 << 20
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
 #: Parts of the hash range whose sizes bound an overlap.
 PARTS = 64
 _K = U64(0xD6E8FEB86659FD93)
@@ -236,18 +236,19 @@ def _connected(docs: DataFrame, signed: DataFrame, where: DataFrame, size: int,
             fits = (F.col("rid") < F.col("rid2")) & (F.col("comp") != F.col("comp2")) & _roomy(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent)
             found = everyone.join(other, (everyone["shingle"] == other["shingle"]) & fits).select(*pair("rid", "rid2"))
         pairs = _open(found, tried, shapes, percent)
-        if not pairs.isEmpty():
+        if told(pairs):
             tried = pairs if tried is None else tried.unionByName(pairs)
             new = _verified(docs, pairs, where, size, percent)
-            if not new.isEmpty():
+            if told(new):
                 links = new if links is None else links.unionByName(new)
-                drop(comp)
-                comp = stored(components(links), "components")
+                if step < HUB_ROUNDS:
+                    drop(comp)
+                    comp = stored(labels(links), "labels")
         places = met
-        if met.isEmpty():
+        if not told(met):
             break
-    drop(places)
-    return comp
+    drop(places, comp)
+    return links if links is None else stored(components(links), "components")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
