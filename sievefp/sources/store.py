@@ -165,7 +165,8 @@ def jdbc_config(spark: SparkSession, url: str, table: str, properties: dict | No
 def jdbc_ids(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> tuple[int, int] | None:
     """(least, greatest) mol_id of a table, found by the database; None if it is empty.  Rows
     with greater ids are what an incremental load adds."""
-    row = spark.read.jdbc(url, f"(SELECT MIN(mol_id) AS low, MAX(mol_id) AS high FROM {table}) ids", properties=properties or {}).first()
+    column = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier("mol_id")
+    row = spark.read.jdbc(url, f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}) ids", properties=properties or {}).first()
     return None if row[0] is None else (int(row[0]), int(row[1]))
 
 
