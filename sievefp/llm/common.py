@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 U64 = np.uint64
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_cleaning = {"lock": threading.Lock(), "writers": 0, "before": "false"}
+#: While tables are written: shuffle files of plans that have ended go, and Python workers
+#: get their rows in small batches.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+_writing = {"lock": threading.Lock(), "writers": 0, "before": {}}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,20 +47,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def _shuffles_removed(spark: SparkSession):
-    """While any write runs, Spark removes the shuffle files of plans that have ended."""
-    with _cleaning["lock"]:
-        if not _cleaning["writers"]:
-            _cleaning["before"] = spark.conf.get(_CLEAN, "false")
-            spark.conf.set(_CLEAN, "true")
-        _cleaning["writers"] += 1
+def _settings(spark: SparkSession):
+    """_WRITING holds in the session from the first writer that begins to the last that ends."""
+    with _writing["lock"]:
+        if not _writing["writers"]:
+            _writing["before"] = {k: spark.conf.get(k, None) for k in _WRITING}
+            for k, v in _WRITING.items():
+                spark.conf.set(k, v)
+        _writing["writers"] += 1
     try:
         yield
     finally:
-        with _cleaning["lock"]:
-            _cleaning["writers"] -= 1
-            if not _cleaning["writers"]:
-                spark.conf.set(_CLEAN, _cleaning["before"])
+        with _writing["lock"]:
+            _writing["writers"] -= 1
+            if not _writing["writers"]:
+                for k, v in _writing["before"].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str, *told) -> DataFrame:
@@ -64,7 +72,7 @@ def stored(df: DataFrame, name: str, *told) -> DataFrame:
     The write counts the rows, and takes further aggregates where told names any.
     """
     spark, path, seen = df.sparkSession, new_path(df.sparkSession, name), Observation()
-    with _shuffles_removed(spark):
+    with _settings(spark):
         df.observe(seen, F.count(F.lit(1)).alias("rows"), *told).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at, out._told = path, seen.get
@@ -303,7 +311,9 @@ def summed_counts(df: DataFrame, counter, slots: int, names: list[str], per_row:
     schema = "block int, counts binary"
     parts = df.mapInArrow(count, schema).repartition(shuffles(df.sparkSession), "block").mapInArrow(add, schema)
     out = {n: np.zeros(slots, np.int64) for n in names}
-    for row in parts.collect():
+    with _settings(df.sparkSession):
+        found = parts.collect()
+    for row in found:
         name, i = names[row["block"] // (slots // per_row)], row["block"] % (slots // per_row)
         out[name][i * per_row : (i + 1) * per_row] = np.frombuffer(row["counts"], "<i8")
     return out
