@@ -1,14 +1,21 @@
 """Repeated passages of bytes by a depth-limited radix sort of suffixes.
 
 A byte goes if some string of ``length`` bytes covers it that also starts anywhere else.
-Suffixes matter through ``length`` bytes only, and not all of them need sorting: every
-window of ``length`` bytes names one anchor in it, the rightmost place where the hash of the
-next GRAM bytes is least, so equal windows have equal anchors at equal offsets.  The anchors'
-suffixes are sorted by most significant digits: first by the GRAM bytes at the anchor -
-suffixes alone with theirs repeat nothing and drop out - then by all that the anchor's
-windows cover.  Where several such contexts meet under one digit, their windows are sorted
-offset by offset through ``length`` bytes.  Equal groups of more than one are exactly the
-repeated windows.
+Suffixes matter through ``length`` bytes only, and not all of them need sorting one by one:
+every window of ``length`` bytes names one anchor in it, the rightmost place where the hash of
+the next GRAM bytes is least, so equal windows have equal anchors at equal offsets, and the
+windows of one anchor are sorted as one row while they stay together.
+
+Passes go from the most significant digit on.  The first digit of a window is the gram at its
+anchor; suffixes alone with theirs repeat nothing and drop out.  Anchors with equal contexts
+(all bytes that their windows cover, by 128-bit digests) repeat each other; one of each goes
+on.  Each further pass cuts the offsets from window to anchor into finer cells.  What all
+windows of a cell have in common is the next digit, compared byte by byte: rows are sorted by
+it, rows that are alone with theirs drop out, and rows whose windows are all equal repeat each
+other, so that one of them goes on.  In the last pass a cell is one offset and the digit is the
+whole window: equal groups are exactly the repeated windows.  Rows are dealt by ranges of
+digit and bytes, so a digit that many rows share is many tasks, and groups are read as a
+stream.
 """
 
 from __future__ import annotations
@@ -20,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import U64, Hasher, mix, shuffles, stored, text_key, utf8, with_documents
+from sievefp.llm.common import U64, Hasher, drop, mix, named, shuffles, stored, text_key, told, utf8, with_documents
 
 LENGTH = 200
 GRAM = 32
-#: Contexts under one digit that are sorted in one place; larger groups are dealt out by window.
-TOGETHER = 4096
+#: A cell of offsets is cut into so many in each pass.
+RADIX = 4
 _PIECE = 1 << 18
 
 
@@ -84,21 +91,17 @@ def _covers(grams: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
 
 
 def _document_anchors(column: pa.Array, length: int, gram: int):
-    """For each text: (anchor, first, last, gram hash, context hash) arrays."""
+    """For each text: (anchor, first, last, gram hash, context digest) of its anchors."""
     data, offsets = utf8(column)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         text = data[a:b]
         at, first, last, digit = anchors(text, length, gram)
         raw = text.tobytes()
         blake = hashlib.blake2b
-        context = np.fromiter(
-            (
-                int.from_bytes(blake(raw[f : l + length], digest_size=8, salt=(p - f).to_bytes(8, "little")).digest(), "little", signed=True)
-                for p, f, l in zip(at.tolist(), first.tolist(), last.tolist())
-            ),
-            np.int64,
-            len(at),
-        )
+        context = [
+            blake(raw[f : l + length], digest_size=16, salt=(p - f).to_bytes(8, "little")).digest()
+            for p, f, l in zip(at.tolist(), first.tolist(), last.tolist())
+        ]
         yield at, first, last, digit, context
 
 
@@ -112,122 +115,98 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if n:
                     which = pa.array(np.full(n, i))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(which), batch.column(1).take(which), *(pa.array(x, pa.int32()) for x in made[:3]), pa.array(made[3]), pa.array(made[4])],
+                        [batch.column(0).take(which), batch.column(1).take(which), *(pa.array(x, pa.int32()) for x in made[:3]), pa.array(made[3]), pa.array(made[4], pa.binary())],
                         ["id", "_key", "at", "first", "last", "digit", "context"],
                     )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, _key long, at int, first int, last int, digit long, context long")
-
-
-def _repeated_offsets(contexts: list[tuple[int, int, bytes]], length: int) -> list[np.ndarray]:
-    """Offsets at which each context's window equals another's.
-
-    A context: (least offset, greatest offset, bytes from the window of the greatest offset
-    to the end of that of the least).
-    """
-    far = max(c[1] for c in contexts)
-    near = min(c[0] for c in contexts)
-    wide = far + length - near
-    h = Hasher.get()
-    laid = np.zeros((len(contexts), wide), np.uint8)
-    for row, (_, most, text) in zip(laid, contexts):
-        row[far - most : far - most + len(text)] = np.frombuffer(text, np.uint8)
-    sums = np.zeros((len(contexts), wide + 1), U64)
-    np.cumsum(h.values[laid] * h.power[:wide], axis=1, out=sums[:, 1:])
-    windows = mix(sums[:, length:] - sums[:, :-length], 3)  # column j: the window at offset far - j
-    offsets = far - np.arange(windows.shape[1])
-    least, most = (np.array([c[i] for c in contexts])[:, None] for i in (0, 1))
-    valid = (offsets >= least) & (offsets <= most)
-    # what no window fills gets a value of its own
-    windows = np.where(valid, windows, np.arange(windows.size, dtype=U64).reshape(windows.shape) * U64(2) + U64(1))
-    order = np.argsort(windows, axis=0, kind="stable")
-    ranked = np.take_along_axis(windows, order, 0)
-    equal = ranked[1:] == ranked[:-1]
-    again = np.zeros(windows.shape, bool)
-    again[1:] |= equal
-    again[:-1] |= equal
-    twin = np.zeros(windows.shape, bool)
-    np.put_along_axis(twin, order, again, 0)
-    twin &= valid
-    return [offsets[row] for row in twin]
-
-
-def _spans(offsets: np.ndarray, length: int) -> list[int]:
-    """Runs of window offsets as flat [from, to, ...] byte places relative to the anchor."""
-    if not len(offsets):
-        return []
-    offsets = np.sort(offsets)
-    cut = np.flatnonzero(np.diff(offsets) > 1)
-    low, high = offsets[np.append(0, cut + 1)], offsets[np.append(cut, len(offsets) - 1)]
-    return np.stack([-high, -low + length], 1).ravel().tolist()
-
-
-_SPANS = "digit long, context long, spans array<int>"
-
-
-def _span_rows(made: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-    made = [m for m in made if m[2]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int32()))],
-        ["digit", "context", "spans"],
-    )
-
-
-def _sort_together(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of contexts (digit, context, low, high, body) of groups of at most TOGETHER."""
-
-    def run(batches):
-        digit, held, made = None, [], []
-
-        def close():
-            if len(held) > 1:
-                for (c, *_), offsets in zip(held, _repeated_offsets([x[1:] for x in held], length)):
-                    made.append((digit, c, _spans(offsets, length)))
-
-        for batch in batches:
-            for d, c, low, high, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if d != digit:
-                    close()
-                    digit, held = d, []
-                held.append((c, low, high, body))
-            yield _span_rows(made)
-            made.clear()
-        close()
-        yield _span_rows(made)
-
-    spread = contexts.repartition(shuffles(contexts.sparkSession), "digit").sortWithinPartitions("digit")
-    return spread.select("digit", "context", "low", "high", "body").mapInArrow(run, _SPANS)
-
-
-def _sort_apart(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: each window is a row that is grouped by its bytes."""
-
-    def windows(batches):
-        for batch in batches:
-            for d, c, low, high, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                n = high - low + 1
-                digests = [hashlib.blake2b(body[j : j + length], digest_size=16, salt=d.to_bytes(8, "little", signed=True)).digest() for j in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array([high - j for j in range(n)], pa.int32()), pa.array(digests, pa.binary())],
-                    ["digit", "context", "offset", "window"],
-                )
-
-    rows = stored(contexts.select("digit", "context", "low", "high", "body").mapInArrow(windows, "digit long, context long, offset int, window binary"), "windows")
-    twice = stored(rows.groupBy("window", "offset").count().filter("count > 1").select("window", "offset"), "windows-twice")
-    found = rows.join(twice, ["window", "offset"]).groupBy("digit", "context").agg(F.collect_list("offset").alias("offsets"))
-
-    def run(batches):
-        for batch in batches:
-            yield _span_rows([(d, c, _spans(np.array(o), length)) for d, c, o in zip(*(batch.column(i).to_pylist() for i in range(3)))])
-
-    return found.mapInArrow(run, _SPANS)
+    return docs.mapInArrow(run, f"id {kind}, _key long, at int, first int, last int, digit long, context binary")
+
+
+def steps(most: int) -> list[int]:
+    """Offsets of a cell in each pass, for offsets from 0 to most."""
+    out = [1]
+    while out[-1] * RADIX <= most:
+        out.append(out[-1] * RADIX)
+    return out[::-1]
+
+
+_ROW = "digit long, context binary, low int, high int, bytes binary"
+
+
+def _sorted_groups(batches):
+    """Rows (lo, core, low, high, bytes, digit, context) in order of all but the last two.
+
+    Rows of equal low, high and bytes repeat each other: each comes out without bytes.  One of
+    each such group goes on with its bytes, if the core has another or if the core's rows may
+    go on in another task (at either end of this one's)."""
+    core = group = held = None
+    first, many, out = True, 0, []
+
+    def made():
+        columns = zip(*out) if out else [[]] * 5
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["digit", "context", "low", "high", "bytes"])
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for lo, digit_bytes, low, high, text, digit, context in zip(*(c.to_pylist() for c in batch.columns)):
+            row = (digit, context, low, high, text)
+            if (lo, digit_bytes) != core:
+                if held and first:
+                    out.append(held)
+                first = core is None
+                core, group, held, groups = (lo, digit_bytes), None, None, 0
+            if row[2:] != group:
+                group, many, lead = row[2:], 1, row
+                groups += 1
+                if groups == 1:
+                    held = row
+                else:
+                    if held:
+                        out.append(held)
+                    held = None
+                    out.append(row)
+            else:
+                many += 1
+                if many == 2:
+                    out.append((*lead[:4], None))
+                out.append((*row[:4], None))
+        yield made()
+    if held:
+        out.append(held)
+    yield made()
+
+
+def _repeated(bodies: DataFrame, length: int, gram: int) -> DataFrame:
+    """digit, context, low, high: offsets at which windows of a context repeat another's, from
+    contexts (digit, context, low, high, bytes)."""
+    found, rows, spread = [], bodies, shuffles(bodies.sparkSession)
+    for step in steps(length - gram):
+        cell = F.explode(F.sequence((F.col("low") / step).cast("int"), (F.col("high") / step).cast("int")))
+        cells = rows.withColumn("cell", cell).withColumn("lo", F.col("cell") * step)
+        low, high = F.greatest("low", "lo"), F.least("high", F.col("lo") + step - 1)
+        part = F.substring("bytes", F.col("high") - high + 1, F.lit(length) + high - low)
+        cells = cells.select("digit", "context", "lo", low.alias("low"), high.alias("high"), part.alias("bytes"))
+        core = F.substring("bytes", F.col("high") - F.col("lo") + 1, F.lit(length - step + 1))
+        order = ["lo", "core", "low", "high", "bytes"]
+        dealt = cells.withColumn("core", core).repartitionByRange(spread, *order).sortWithinPartitions(*order)
+        before, rows = rows, stored(dealt.select(*order, "digit", "context").mapInArrow(_sorted_groups, _ROW), f"pass-{step}", F.count("bytes").alias("open"))
+        found.append(rows.filter("bytes is null").drop("bytes"))
+        if not told(rows, "open"):
+            break
+        rows = rows.filter("bytes is not null")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """digit, context, m, low, high, body of wanted (id, _key, at, first, last, digit, context, m)."""
+    """digit, context, low, high, bytes of wanted (id, _key, at, first, last, digit, context)."""
     lists = stored(
-        wanted.groupBy("id", "_key").agg(F.collect_list(F.struct("digit", "context", "m", "at", "first", "last")).alias("places")).withColumnsRenamed({"id": "_wid", "_key": "_wkey"}),
+        wanted.groupBy("id", "_key").agg(F.collect_list(F.struct("digit", "context", "at", "first", "last")).alias("places")).withColumnsRenamed({"id": "_wid", "_key": "_wkey"}),
         "context-places",
     )
     rows = with_documents(docs, lists).select("text", "places")
@@ -240,40 +219,42 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     some = places[start : start + 10_000]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            *(pa.array([p[k] for p in some], pa.int64()) for k in ("digit", "context", "m")),
+                            pa.array([p["digit"] for p in some], pa.int64()), pa.array([p["context"] for p in some], pa.binary()),
                             pa.array([p["at"] - p["last"] for p in some], pa.int32()), pa.array([p["at"] - p["first"] for p in some], pa.int32()),
                             pa.array([raw[p["first"] : p["last"] + length] for p in some], pa.binary()),
                         ],
-                        ["digit", "context", "m", "low", "high", "body"],
+                        ["digit", "context", "low", "high", "bytes"],
                     )
 
-    return rows.mapInArrow(run, "digit long, context long, m long, low int, high int, body binary")
+    bodies = stored(rows.mapInArrow(run, _ROW), "bodies")
+    drop(lists)
+    return bodies
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """_id, _key, spans (array of [from, to) structs) of the documents (id, _key, text) that
     hold bytes covered by repeated windows.  Rows that repeat id and text are each other's
     repeats."""
-    rows = _anchor_rows(docs, length, gram)
+    rows = stored(_anchor_rows(docs, length, gram), "anchors")
     twice = stored(rows.groupBy("digit").count().filter("count > 1").select("digit"), "digits")
     shared = stored(rows.hint("merge").join(twice, "digit"), "shared")
+    drop(rows, twice)
     # contexts under a digit; a context that occurs more than once repeats all through
     kinds = shared.groupBy("digit", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "_key", "at", "first", "last")).alias("one"))
     kinds = stored(kinds, "contexts")
-    many = stored(kinds.groupBy("digit").agg(F.count("*").alias("m")).filter("m > 1"), "digits-many")
-    wanted = kinds.join(many, "digit").select("digit", "context", "m", "one.*")
-    bodies = stored(_contexts(docs, wanted, length), "bodies")
-    parted = _sort_together(bodies.filter(F.col("m") <= TOGETHER), length)
-    large = bodies.filter(F.col("m") > TOGETHER)
-    if not large.isEmpty():
-        parted = parted.unionByName(_sort_apart(large, length))
-    parted = stored(parted, "spans")
+    many = kinds.groupBy("digit").agg(F.count("*").alias("m")).filter("m > 1").select("digit")
+    bodies = _contexts(docs, kinds.join(many, "digit").select("digit", "context", "one.*"), length)
+    parted = _repeated(bodies, length, gram)
+    parted = stored(parted.groupBy("digit", "context").agg(F.collect_set(F.struct("low", "high")).alias("runs")), "runs")
+    drop(bodies)
     full = kinds.filter("n > 1").select("digit", "context", F.lit(True).alias("all"))
     verdict = stored(full.join(parted, ["digit", "context"], "full"), "verdicts")
     whole = F.array(F.struct(F.col("first").alias("from"), (F.col("last") + length).alias("to")))
-    pieces = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct((F.col("at") + F.get("spans", i * 2)).alias("from"), (F.col("at") + F.get("spans", i * 2 + 1)).alias("to")))
+    pieces = F.transform("runs", lambda r: F.struct((F.col("at") - r["high"]).alias("from"), (F.col("at") - r["low"] + length).alias("to")))
     hit = shared.hint("merge").join(verdict, ["digit", "context"]).select("id", "_key", F.explode(F.when(F.col("all"), whole).otherwise(pieces)).alias("span"))
-    return stored(hit.groupBy(F.col("id").alias("_id"), F.col("_key").alias("_rkey")).agg(F.collect_list("span").alias("spans")), "removed")
+    found = stored(hit.groupBy(F.col("id").alias("_id"), F.col("_key").alias("_rkey")).agg(F.collect_set("span").alias("spans")), "removed")
+    drop(shared, kinds, parted, verdict)
+    return found
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -287,7 +268,7 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, length: int, id: str, text: str) -> DataFrame:
-    keyed = docs.select(F.col(id).alias("id"), text_key(text).alias("_key"), F.col(text).alias("text"))
+    keyed = docs.select(named(id).alias("id"), text_key(text).alias("_key"), named(text).alias("text"))
     spans = repeated_spans(keyed, length)
     both = keyed.hint("merge").join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rkey")), "left")
     return both.select("id", "text", "spans")

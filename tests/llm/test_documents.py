@@ -148,11 +148,28 @@ def brute_spans(rows, length):
         yield doc_id, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("together", [256, 2])
-def test_suffix_dedup(docs, rows, together, monkeypatch):
-    monkeypatch.setattr(suffixes, "TOGETHER", together)
-    got = suffixes.removed_digests(docs, 50)
-    assert Counter(map(tuple, got.collect())) == Counter(brute_spans(rows, 50))
+@pytest.mark.parametrize("length", [50, 200])
+def test_suffix_dedup(docs, rows, length):
+    got = suffixes.removed_digests(docs, length)
+    assert Counter(map(tuple, got.collect())) == Counter(brute_spans(rows, length))
+
+
+def test_suffix_dedup_of_a_passage_in_many_contexts(spark):
+    """One passage of 230 bytes with other bytes on both sides each time, some of them alike
+    for a while; many rows share each digit."""
+    r = np.random.default_rng(2)
+    letters = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    passage, sides = letters(230), [letters(90) for _ in range(4)]
+    rows = []
+    for i in range(3000):
+        left, right = (s[: r.integers(0, 90)] if i % 3 else "" for s in (sides[r.integers(4)], sides[r.integers(4)]))
+        rows.append((i, letters(30) + left[::-1] + passage[: 230 if i % 7 else 205] + right + letters(30)))
+    got = suffixes.removed_digests(documents(spark, rows))
+    assert Counter(map(tuple, got.collect())) == Counter(brute_spans(rows, 200))
+
+
+def test_steps_end_at_single_offsets():
+    assert suffixes.steps(168) == [64, 16, 4, 1] and suffixes.steps(0) == [1] and suffixes.steps(3) == [1]
 
 
 def test_suffix_dedup_texts(docs, rows, none):
@@ -203,6 +220,25 @@ def test_line_dedup(docs, rows, none):
     assert "rid" in got.columns and lines.line_dedup(none).count() == 0
 
 
+def test_line_dedup_takes_time_in_proportion(spark):
+    """Two documents of 100,000 lines, one of which loses nearly all of them."""
+    body = "\n".join(f"line {i}" for i in range(100_000))
+    got = {r.doc_id: r for r in lines.line_dedup(documents(spark, [(1, body), (2, "first\n" + body + "\nlast")])).collect()}
+    assert got[1].text == body and (got[2].n_removed, got[2].text) == (100_000, "first\nlast")
+
+
+def test_very_long_words_and_texts(spark):
+    """Texts longer than what is worked on at once, and words longer than that."""
+    word, long = "w" * 400_000, " ".join(f"x{i}" for i in range(120_000))
+    rows = [(1, f"a {word} b c"), (2, f"a {word} b c"), (3, f"a {word}v b c"), (4, long), (5, long + " tail"), (6, "short text here")]
+    df = documents(spark, rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 3, 90).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 3), 4: (119_998, 4), 5: (119_999, 4), 6: (1, 6)}
+    spans = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.removed_digests(df).collect()}
+    assert spans[1] == (len(rows[0][1]), len(rows[0][1])) and spans[6] == (15, 0)
+    assert spans[4] == (len(long), len(long)) and spans[5] == (len(long) + 5, len(long))
+
+
 def test_bpe(docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -326,6 +362,33 @@ def test_brown(docs, rows, none, monkeypatch):
     assert brown.score(none).count() == 0
 
 
+def test_brown_score_is_brute_force(docs, rows, monkeypatch):
+    """The score from the classes that training gives, by plain counts of words and classes."""
+    monkeypatch.setattr(brown, "HEAD", 40)
+    hashed = lambda w: int(brown.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), brown._inside)[0][0])
+    chunks = brown.stored(brown._chunks(docs, "doc_id", "text", 4), "chunks")
+    vocabulary = brown.train(chunks, brown.stored(brown._vocabulary(chunks, 4), "vocabulary"), 4)
+    known = {r["word"] & (2**64 - 1): (r["n"], r["class"]) for r in brown._words(vocabulary).collect()}
+    kind = lambda w: known[w][1] if w in known else int(brown.spread(np.array([w], np.uint64))[0])
+    sentences = [(i, [*map(hashed, blank_words(t)), brown.END]) for i, t in rows]
+    steps, mass, members = Counter(), Counter(), Counter(k for _, k in known.values())
+    for i, words in sentences:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            kinds = [kind(w) for w in words]
+            steps.update(zip([kind(brown.END), *kinds], kinds))
+            mass.update(kinds)
+    of = Counter(a for (a, _), n in steps.items() for _ in range(n))
+    want = []
+    for i, words in sentences:
+        total, before = 0.0, kind(brown.END)
+        for w in words:
+            k = kind(w)
+            total += np.log10((steps[before, k] + 0.5) / (of[before] + 0.5 * brown.CLASSES)) + np.log10((known.get(w, (0,))[0] + 0.5) / (mass[k] + 0.5 * (members[k] + 1)))
+            before = k
+        want.append((str(i), round(total, 5)))
+    assert sorted((str(r.doc_id), round(r.score, 5)) for r in brown.score(docs).collect()) == sorted(want)
+
+
 def test_brown_classes_belong_to_words(spark, monkeypatch):
     """Words are parted by what they stand beside, also where their hashes agree in the low
     bits, and where they are too rare for the words that move one after another."""
@@ -342,7 +405,7 @@ def test_brown_classes_belong_to_words(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for most in (6, 1 << 14):
         monkeypatch.setattr(brown, "HEAD", most)
-        chunks = brown._chunks(docs, "doc_id", "text", 4).localCheckpoint()
+        chunks = brown.stored(brown._chunks(docs, "doc_id", "text", 4), "chunks")
         vocabulary = brown.train(chunks, brown.stored(brown._vocabulary(chunks, 4), "vocabulary"), 4)
         classes = {np.uint64(r["word"] & (2**64 - 1)): r["class"] for r in brown._words(vocabulary).collect()}
         assert len(classes) == 405
