@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import extended
+from sievefp.llm.common import extended, named
 
 # The byte alphabet of byte-level BPE - printable bytes stand for themselves,
 # the others follow from code point 256 on.
@@ -102,7 +102,7 @@ class TrieBpe:
                 j += 1
 
     def _follows(self, left: int, right: int) -> bool:
-        key = left << 17 | right
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > 2_000_000:
@@ -266,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
                 made = [None if t is None else bpe.listed(j) for t, j in zip(texts, bpe.encode_batch(texts))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.int32()))], [*names, ids])
 
-    base = docs.select(*[F.col(f"`{c}`") for c in names])
+    base = docs.select(*[named(c) for c in names])
     return base.mapInArrow(run, extended(base, ids, "array<int>"))
 
 
@@ -281,7 +281,7 @@ def decode_documents(coded: DataFrame, path: str, ids: str = "ids", text: str =
             made = [None if i is None else bpe.decode(i) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*names, text])
 
-    base = coded.select(*[F.col(f"`{c}`") for c in names])
+    base = coded.select(*[named(c) for c in names])
     return base.mapInArrow(run, extended(base, text, "string"))
 
 

@@ -14,6 +14,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,14 @@ def mark_revisits(pages: DataFrame, id: str = "page_id", payload: str = "html",
     ).drop("_digest", "_first")
 
 
-def _urn(value) -> str:
-    return f"<urn:page:{'null' if value is None else value}>"
+def _urn(value: str | None) -> str:
+    return "urn:no-page" if value is None else f"urn:page:{quote(value, safe='')}"
+
+
+def _page(value: str) -> str | None:
+    """The page id in a record's name; null for none."""
+    name = value.strip("<>").partition("#")[0]
+    return unquote(name[9:]) if name.startswith("urn:page:") else None
 
 
 def _line(value: str) -> str:
@@ -76,7 +83,7 @@ class _Archive:
         files.create_dir(path, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.gz"
         self.out = files.open_output_stream(f"{path}/{self.name}", compression=None)
-        self.at = 0
+        self.at = self.many = 0
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
@@ -85,13 +92,14 @@ class _Archive:
     def record(self, page, url, kind, first, digest: str, payload: memoryview) -> None:
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
         stored_payload = payload if kind == "response" else payload[:0]
-        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page)}", f"WARC-Date: {_DATE}"]
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_urn(page)}#{self.name[:32]}-{self.many}>", f"WARC-Date: {_DATE}"]
         if url is not None:
             head.append(f"WARC-Target-URI: {_line(url)}")
         head.append(f"WARC-Payload-Digest: sha256:{digest}")
         if kind == "revisit":
-            head += [f"WARC-Profile: {_IDENTICAL}", f"WARC-Refers-To: {_urn(first)}"]
+            head += [f"WARC-Profile: {_IDENTICAL}", f"WARC-Refers-To: <{_urn(first)}>"]
         head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + len(stored_payload)}"]
+        self.many += 1  # rows that repeat an id are records of their own names
         member = zlib.compressobj(6, zlib.DEFLATED, 31)
         self._put(member.compress(("\r\n".join(head) + "\r\n\r\n").encode() + http))
         for i in range(0, len(stored_payload), CHUNK):
@@ -233,7 +241,7 @@ def read_chunks(spark: SparkSession, segments: DataFrame, chunks: bool = True) -
                     for head, http, pieces in records(_Stream(source, length)):
                         digest, size, n, before = hashlib.sha256(), 0, 0, b""
                         known = [
-                            head["warc-record-id"][10:-1], head["warc-type"], head.get("warc-refers-to", "")[10:-1] or None, head.get("warc-target-uri"),
+                            _page(head["warc-record-id"]), head["warc-type"], _page(head.get("warc-refers-to", "")), head.get("warc-target-uri"),
                             head["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"]),
                         ]
                         for piece in pieces:
@@ -260,24 +268,25 @@ def archive_digests(pages: DataFrame) -> DataFrame:
     """Writes every page to WARC archives and reads them back: page_id, payload_bytes,
     payload_digest, record_type, refers_to.
 
-    Lengths and digests of responses come from the payload that was read, chunk by chunk;
-    those of revisits from their header.  Digest and length of each response must equal its
-    header's, else the job fails.
+    The result comes from the chunk table: length and digest of a response are those that its
+    last chunk row carries, and must be its header's.  A revisit has no payload; what its
+    header says must be what the response it refers to was read with.  Else the job fails.
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     segments = write_archives(mark_revisits(pages), new_path(spark, "warc"))
-    rows = read_chunks(spark, segments).filter("last")
+    rows = read_chunks(spark, segments).filter("last").drop("chunk")
+    rows = stored(rows, "warc-records")
     response = F.col("record_type") == "response"
-    sound = ~response | ((F.col("sha256_so_far") == F.col("header_digest")) & (F.col("bytes_so_far") == F.col("header_bytes")))
-    page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
-    return rows.select(
-        page("record_id").alias("page_id"),
-        F.when(response, F.col("bytes_so_far")).otherwise(F.col("header_bytes")).alias("payload_bytes"),
-        F.when(~sound, F.raise_error(F.lit("a payload differs from its header")).cast("string")).when(response, F.col("sha256_so_far")).otherwise(F.col("header_digest")).alias("payload_digest"),
-        "record_type",
-        page("refers_to").alias("refers_to"),
-    )
+    sound = (F.col("sha256_so_far") == F.col("header_digest")) & (F.col("bytes_so_far") == F.col("header_bytes"))
+    fail = F.raise_error(F.lit("a payload differs from its header"))
+    responses = rows.filter(response).withColumn("payload_digest", F.when(~sound, fail.cast("string")).otherwise(F.col("sha256_so_far")))
+    revisited = responses.join(rows.filter(~response).select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")
+    met = revisited.select(F.col("record_id").alias("refers_to"), F.col("sha256_so_far").alias("digest"), F.col("bytes_so_far").alias("bytes")).distinct()
+    again = rows.filter(~response).join(met, (rows["refers_to"] == met["refers_to"]) & (F.col("header_digest") == F.col("digest")) & (F.col("header_bytes") == F.col("bytes")), "left")
+    again = again.withColumn("payload_digest", F.when(F.col("digest").isNull(), F.raise_error(F.lit("a revisit differs from its response")).cast("string")).otherwise(F.col("digest")))
+    shown = lambda df, size: df.select(F.col("record_id").cast(kind).alias("page_id"), F.col(size).alias("payload_bytes"), "payload_digest", "record_type", rows["refers_to"].cast(kind).alias("refers_to"))
+    return shown(responses, "bytes_so_far").unionByName(shown(again, "bytes"))
 
 
 #: DuckDB SQL of archive_digests over pages.

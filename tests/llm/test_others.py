@@ -30,6 +30,23 @@ def test_archives(spark):
     assert warc.archive_digests(pages(spark, []).filter("false")).count() == 0
 
 
+def test_archives_of_odd_ids(spark):
+    ids = ["null", "a>b\r\nX", "#1", "%20 é", "", None]
+    df = spark.createDataFrame([(i, "u", "x" * 200) for i in ids], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_digests(df).collect()}
+    assert got == {"": ("response", None)} | {i: ("revisit", "") for i in ids if i != ""}
+
+
+def test_a_revisit_of_another_payload_fails(spark, monkeypatch):
+    read = warc.read_chunks
+    from pyspark.sql import functions as F
+
+    wrong = F.when(F.col("record_type") == "revisit", F.lit("0" * 64)).otherwise(F.col("header_digest"))
+    monkeypatch.setattr(warc, "read_chunks", lambda *a: read(*a).withColumn("header_digest", wrong))
+    with pytest.raises(Exception, match="differs from its response"):
+        warc.archive_digests(pages(spark, [(1, "u", "x" * 200), (2, "u", "x" * 200)])).collect()
+
+
 def test_archive_digests_read_the_chunk_rows(spark, monkeypatch):
     read, tables = warc.read_chunks, []
     monkeypatch.setattr(warc, "read_chunks", lambda *a, **b: tables.append(read(*a, **b)) or tables[-1])
@@ -118,6 +135,62 @@ def test_classifier(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, ok in got.items() if ok}
 
 
+def test_classifier_is_brute_force(spark):
+    """Weights and the chosen rows, from sets of n-grams and counts in plain Python."""
+    import math
+
+    docs, labels, n = labelled(spark)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    table = quality._labels(labels, "doc_id", quality.LABELLED).collect()
+    grams = {}
+    for i, t in texts.items():
+        data = np.frombuffer(t.encode(), np.uint8)
+        grams[i] = set(quality.ngram_slots(data, np.array([0, len(data)]))[1].tolist())
+    fit = {r._lid: r._good for r in table if r._fit and r._lid in texts}
+    count = lambda ids: Counter(g for i in ids for g in grams[i])
+    raw, good, bad = count(texts), count(i for i in fit if fit[i]), count(i for i in fit if not fit[i])
+    n_good, n_bad, n_raw = sum(r._good for r in table if r._fit), sum(not r._good for r in table if r._fit), len(texts)
+    share = {g: raw[g] * n_good / n_raw for g in raw}
+    often = sorted((math.log(good[g] / share[g]), g) for g in raw if share[g] > 5 and good[g])
+    half, run = sum(good[g] for _, g in often) / 2, 0
+    for middle, g in often:
+        run += good[g]
+        if run >= half:
+            break
+
+    def ratio(g):
+        odds = lambda x: math.log((x + 1) / (n_good - x + 1))
+        total, both = n_good + n_bad, good[g] + bad[g]
+        cells = ((good[g], both * n_good), (bad[g], both * n_bad), (n_good - good[g], (total - both) * n_good), (n_bad - bad[g], (total - both) * n_bad))
+        stat = sum(x * math.log(x * total / e) for x, e in cells if x)
+        return (odds(good[g]) - odds(min(share[g] * math.exp(middle), n_good))) / (1 + math.exp(math.log(total) - stat))
+
+    rows = quality.classify(docs, labels).collect()
+    want = {i: sum(map(ratio, grams[i])) for i in texts}
+    assert all(math.isclose(r.log_weight, want[r.doc_id], rel_tol=1e-4, abs_tol=1e-3) for r in rows)
+    assert len({round(r.log_weight, 6) for r in rows}) > 0.95 * n
+    weighed = quality.weigh(docs, quality.fit(docs, labels)).select("doc_id", "log_weight", "sample_key").collect()
+    noise = [r.sample_key - r.log_weight for r in weighed]
+    assert abs(np.mean(noise) - 0.5772) < 0.25 and abs(np.std(noise) - 1.2825) < 0.25
+    best = {r.doc_id for r in sorted(weighed, key=lambda r: -r.sample_key)[:25]}
+    assert {r.doc_id for r in quality.classify(docs, labels, k=25).collect() if r.accepted} == best
+    assert quality.accepted(docs, labels, k=25).count() == 25
+
+
+def test_columns_of_any_name_stay(spark):
+    """Internal names as extra columns come back as they were."""
+    import corpus_pipeline
+    from sievefp.llm import jaccard, lines
+
+    docs, labels, _ = labelled(spark, 60)
+    extra = ["_key", "_gone", "_gid", "_lines", "_dkey", "_sid", "_weight", "_sample", "_good", "_lid", "a.b", "log_weight", "n_removed_", "id"]
+    wide = docs.select("*", *[docs.doc_id.cast("string").alias(c) for c in extra])
+    for df in (quality.accepted(wide, labels), lines.line_dedup(wide).select(*[f"`{c}`" for c in wide.columns]), jaccard.one_of_each(wide), corpus_pipeline.dedup_lines(spark, wide.withColumn("n_lines", wide.doc_id), "")):
+        rows = df.collect()
+        assert df.columns[: len(wide.columns)] == wide.columns and len(rows) > 10
+        assert all(r[c] == (None if r.doc_id is None else str(r.doc_id)) for r in rows for c in extra)
+
+
 def test_classifier_with_few_labels(spark):
     """Telling words too few for a fixed likelihood ratio statistic of 20 still part the texts."""
     r = random.Random(3)
@@ -174,4 +247,22 @@ def test_pipeline(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256((kept[i] or "").encode()).hexdigest()
         ids = np.frombuffer(bytes(r.ids), "<u4")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
+    clash = spark.read.parquet(str(tmp_path / "documents.parquet")).selectExpr("*", "doc_id as _key", "doc_id as _hit_id")
+    kept = corpus_pipeline.remove_contaminated(spark, clash, str(tmp_path))
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i in texts if i != 9} and all(r._key == r.doc_id for r in kept.collect())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near copies", "decontamination", "bpe"]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows; then tables without rows."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (None, "", None, None, 0), (1, None, "en", None, None), (2, "", "en", "s", 0), (3, "a b c", None, "s", 5), (3, "a b c", None, "s", 5), (4, "x\nx\nx\nx\nx\nx\nx", "en", "s", 13)]
+    for name, some in (("odd", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(None, None, None), (3, None, 1)] if some else [], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(None, None), (1, "")] if some else [], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert Counter(r.doc_id for r in got) == (Counter({None: 2, 1: 1, 2: 1, 3: 1, 4: 1}) if some else Counter())
