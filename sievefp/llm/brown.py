@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark import TaskContext
 
-from sievefp.llm.common import SPACES, U64, byte_table, mix, shuffles, slabs, stored, word_hashes
+from sievefp.llm.common import SPACES, U64, byte_table, drop, mix, named, shuffles, slabs, stored, word_hashes
 
 #: Words in a table of contexts that exchange works on.
 SLOTS = 1 << 14
@@ -53,7 +53,7 @@ def spread(words: np.ndarray) -> np.ndarray:
 
 def is_training(id: str):
     """crc32 of the id as text, modulo 5, is not 1; a null id counts as an empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1
+    return F.pmod(F.crc32(F.coalesce(named(id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1
 
 
 def _array(value, kind: str) -> np.ndarray:
@@ -101,7 +101,7 @@ def _chunks(docs: DataFrame, id: str, text: str, parts: int) -> DataFrame:
             yield row()
 
     kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(F.col(id).alias("id"), (~is_training(id)).alias("held_out"), F.col(text).alias("text"))
+    rows = docs.select(named(id).alias("id"), (~is_training(id)).alias("held_out"), named(text).alias("text"))
     return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, lens binary, words binary, n binary, tokens binary")
 
 
@@ -393,7 +393,9 @@ def train(chunks: DataFrame, vocabulary: DataFrame, parts: int) -> DataFrame:
     head, _ = _head(_words(vocabulary), HEAD)
     for _ in range(EXCHANGES):
         contexts = stored(_contexts(chunks, vocabulary, parts), "contexts")
+        drop(vocabulary)
         vocabulary = stored(_exchanged(contexts, head), "classes")
+        drop(contexts)
     return vocabulary
 
 
@@ -411,8 +413,10 @@ def _transitions(both: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
 
     joint = np.zeros(CLASSES * CLASSES, np.int64)
-    for r in stored(both.mapInArrow(count, "counts binary"), "transitions").toLocalIterator():
+    found = stored(both.mapInArrow(count, "counts binary"), "transitions")
+    for r in found.toLocalIterator():
         joint += np.frombuffer(r["counts"], "<i8")
+    drop(found)
     return joint.reshape(CLASSES, CLASSES)
 
 
@@ -431,6 +435,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     for r in _words(vocabulary).groupBy("class").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
         members[r["class"]], total = r["words"], total + r["n"]
     given = stored(_given(chunks, vocabulary, parts, counts=True), "given")
+    drop(vocabulary)
     columns = ["held", "lens", "words", "tokens"]
     shared = spark.sparkContext.broadcast(ClassModel(_transitions(_joined(chunks, given, columns)), members))
     base_below = float(np.log10(total + ADD * (members.sum() + 1)))

@@ -12,40 +12,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import stored, text_key
+from sievefp.llm.common import drop, named, stored, text_key, told
 
-#: A table of terms or windows is broadcast up to this many rows (some tens of MB); beyond it
-#: the same joins run as shuffled ones.
-BROADCAST_ROWS = 200_000
+#: A table of terms or windows is broadcast up to this many bytes, as its rows are in memory;
+#: beyond it the same joins are shuffled ones.
+BROADCAST_BYTES = 32 << 20
+_ROW_BYTES = 64
 _UPPER = "".join(map(chr, range(65, 91)))
 
 
 def words(text: str) -> Column:
     """Words of ASCII digits, letters (lower-cased) and any non-ASCII character; null has none."""
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _UPPER.lower())
+    low = F.translate(F.coalesce(named(text), F.lit("")), _UPPER, _UPPER.lower())
     return F.regexp_extract_all(low, F.lit("([0-9a-z\\x{80}-\\x{10FFFF}]+)"), F.lit(1))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A stored table that knows the bytes of its rows in memory."""
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    texts += [F.octet_length(F.array_join(c, " ")) + 16 * F.size(c) for c, kind in df.dtypes if kind == "array<string>"]
+    size = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(_ROW_BYTES + 8 * len(df.columns)))
+    return stored(df, name, F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes"))
+
+
+def _fits(df: DataFrame) -> bool:
+    return told(df, "bytes") <= BROADCAST_BYTES
+
+
+def _small(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """df, to be broadcast if its rows, or those of the stored table it is a part of, fit."""
+    return F.broadcast(df) if _fits(source or df) else df
 
 
 def item_windows(items: DataFrame, size: int, id: str, text: str) -> DataFrame:
     """item_id, win: size consecutive words, blank-joined; shorter items are one window."""
-    listed = items.select(F.col(id).alias("item_id"), words(text).alias("w")).filter("size(w) > 0")
+    listed = items.select(named(id).alias("item_id"), words(text).alias("w")).filter("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
     return listed.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("win")).distinct()
 
 
 def term_counts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """term, n: how often each wanted term stands in the corpus (terms it lacks are left out)."""
+    """term, n: how often each wanted term stands in the corpus (terms it lacks are left out).
+    A common term's occurrences are counted before anything is shuffled."""
     tokens = docs.select(F.explode(words(text)).alias("term"))
-    return tokens.join(_small(wanted), "term").groupBy("term").agg(F.count("*").alias("n"))
+    if _fits(wanted):
+        return tokens.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term")
 
 
 def postings(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
     """term, _id, _key, pos of every occurrence of the wanted terms."""
-    tokens = docs.select(F.col(id).alias("_id"), text_key(text).alias("_key"), F.posexplode(words(text)).alias("pos", "term"))
+    tokens = docs.select(named(id).alias("_id"), text_key(text).alias("_key"), F.posexplode(words(text)).alias("pos", "term"))
     return tokens.join(_small(wanted), "term")
 
 
@@ -63,11 +80,13 @@ def _plans(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _starts(docs: DataFrame, windows: DataFrame, id: str, text: str, slop: int) -> tuple[DataFrame, DataFrame]:
     """(possible starts (_id, _key, start, terms, win) after intersecting two lists, plans)."""
-    wanted = windows.select(F.explode(F.split("win", " ")).alias("term")).distinct()
-    plans = stored(_plans(windows, stored(term_counts(docs, wanted, text), "terms-counted")), "windows-planned")
-    rare = plans.select(F.explode(F.array("term1", "term2")).alias("term")).filter("term is not null").distinct()
+    wanted = _kept(windows.select(F.explode(F.split("win", " ")).alias("term")).distinct(), "terms")
+    counted = stored(term_counts(docs, wanted, text), "terms-counted")
+    plans = _kept(_plans(windows, counted), "windows-planned")
+    rare = _kept(plans.select(F.explode(F.array("term1", "term2")).alias("term")).filter("term is not null").distinct(), "terms-rare")
     index = stored(postings(docs, rare, id, text), "postings")
-    from_rarest = index.join(_small(plans.withColumnRenamed("term1", "term")), "term").select(
+    drop(wanted, counted, rare)
+    from_rarest = index.join(_small(plans.withColumnRenamed("term1", "term"), plans), "term").select(
         "_id", "_key", "win", "terms", "term2", "off1", "off2", F.col("pos").alias("pos1"), (F.col("pos") - F.col("off1")).alias("start")
     )
     if slop == 0:
@@ -81,7 +100,7 @@ def _starts(docs: DataFrame, windows: DataFrame, id: str, text: str, slop: int)
         # both lists in cells as wide as a match; a match's terms lie in neighbouring cells
         width = F.size("terms") + slop
         left = left.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: (F.col("pos1") / width).cast("int") + d))).withColumn("width", width)
-        widths = _small(plans.filter("term2 is not null").select(F.col("term2").alias("t2"), (F.size("terms") + slop).alias("width2")).distinct())
+        widths = _small(plans.filter("term2 is not null").select(F.col("term2").alias("t2"), (F.size("terms") + slop).alias("width2")).distinct(), plans)
         other = other.join(widths, "t2").withColumn("cell2", (F.col("pos2") / F.col("width2")).cast("int"))
         same = same & (F.col("cell") == F.col("cell2")) & (F.col("width") == F.col("width2"))
         near = (F.abs(F.col("pos1") - F.col("pos2")) < F.col("width")) & (F.col("pos1") != F.col("pos2"))
@@ -100,7 +119,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, id: str =
     starts, _ = _starts(docs, windows, id, text, 0)
     found = starts.groupBy("_id", "_key").agg(F.collect_set(F.struct("win", "start")).alias("maybe"))
     found = stored(found, "starts").withColumnsRenamed({"_id": "_fid", "_key": "_fkey"})
-    listed = docs.select(F.col(id).alias("_id"), text_key(text).alias("_key"), F.col(text).alias("_text"))
+    listed = docs.select(named(id).alias("_id"), text_key(text).alias("_key"), named(text).alias("_text"))
     both = listed.hint("merge").join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_key") == F.col("_fkey")), "left")
     both = both.withColumn("w", words("_text"))
     is_there = lambda m: F.slice(F.col("w"), m["start"] + 1, F.size(F.split(m["win"], " "))) == F.split(m["win"], " ")
@@ -110,12 +129,12 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, id: str =
 def proximity_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 5, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item_id, win: documents that hold all words of a window, each as often as the
     window has it, in any order within len(window) + slop consecutive words."""
-    named = stored(item_windows(items, size, item_id, item_text), "windows")
-    windows = stored(named.select("win").distinct(), "windows-distinct")
+    by_item = stored(item_windows(items, size, item_id, item_text), "windows")
+    windows = stored(by_item.select("win").distinct(), "windows-distinct")
     starts, _ = _starts(docs, windows, id, text, slop)
     found = stored(starts.select("_id", "_key", "win", "pos1").distinct(), "near").withColumnsRenamed({"_id": "_fid", "_key": "_fkey"})
     found = found.groupBy("_fid", "_fkey").agg(F.collect_list(F.struct("win", "pos1")).alias("maybe"))
-    listed = docs.select(F.col(id).alias("_id"), text_key(text).alias("_key"), F.col(text).alias("_text"))
+    listed = docs.select(named(id).alias("_id"), text_key(text).alias("_key"), named(text).alias("_text"))
     both = listed.join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_key") == F.col("_fkey"))).withColumn("w", words("_text"))
 
     def is_there(m):
@@ -127,7 +146,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: i
         return F.exists(around, holds)
 
     hits = both.select("_id", F.explode(F.filter("maybe", is_there)).alias("m")).select("_id", F.col("m.win").alias("win")).distinct()
-    return hits.join(named, "win").select(F.col("_id").alias(id), "item_id", "win").distinct()
+    return hits.join(by_item, "win").select(F.col("_id").alias(id), "item_id", "win").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -143,10 +162,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id: str = "
         phrase_matches(docs, items, size, id, text, item_id, item_text).select("_id", "_key", "n_words", n_hit.cast("long").alias("n_hit"), wins.alias("wins")),
         "matched",
     )
-    named = item_windows(items, size, item_id, item_text)
+    listed_windows = item_windows(items, size, item_id, item_text)
     ids = (
         per_doc.filter("wins is not null").select("_id", "_key", F.explode("wins").alias("win")).distinct()
-        .join(_small(stored(named, "items")), "win")
+        .join(_small(_kept(listed_windows, "items")), "win")
         .groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     )
     ids = stored(ids, "items-found").withColumnsRenamed({"_id": "_iid", "_key": "_ikey"})

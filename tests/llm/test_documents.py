@@ -120,7 +120,7 @@ def test_decontamination_without_items(docs, none, spark):
 def test_decontamination_without_broadcast(spark, docs, rows, monkeypatch):
     items = benchmark(spark, rows)
     want = sorted(map(str, decontaminate.contamination(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert sorted(map(str, decontaminate.contamination(docs, items).collect())) == want
 
 
