@@ -4,8 +4,8 @@ Unit vectors of cosine >= c are at most tau = sqrt(2 - 2 c) apart.  Equal vector
 point with a weight.  The upper tree is built in the DataFrame: a node of more than BLOCK
 points chooses centres among a hashed share of its points and each point goes to the nearest
 one, until nodes are blocks; a block that cannot be parted (its points are alike) is cut by
-hash.  Inside a block, nested nets of halving radii cover its points.  Every node knows the
-true greatest distance from its centre to a point under it.
+hash.  Inside a block, nested nets of halving radii cover its points; they are made once a
+block.  Every node knows the true greatest distance from its centre to a point under it.
 
 Both trees are descended at once: a pair of nodes whose centres are further apart than their
 covering radii and tau is dropped with all below it; a pair of blocks that lies within tau as
@@ -15,20 +15,23 @@ double-precision cosines.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import stored
+from sievefp.llm.common import named, stored, told
 from sievefp.llm.graph import components
 
 BLOCK = 2048
 FAN = 64
 RADII = (1.0, 0.5, 0.25, 0.125)
 SLACK = 1e-9
-#: Centres of all nodes being split go to every task up to this many; beyond, they are joined.
-BROADCAST_CENTRES = 20_000
+#: Tables of nodes go to every task up to this many bytes, as their rows are in memory; beyond,
+#: they are joined.
+BROADCAST_BYTES = 32 << 20
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -46,16 +49,21 @@ def _apart(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
 
 
+def _small(nodes: DataFrame, more: int = 0) -> DataFrame:
+    """A stored table of nodes, to be broadcast if its rows, with more bytes in all, fit."""
+    return F.broadcast(nodes) if 200 * told(nodes) + more <= BROADCAST_BYTES else nodes
+
+
 def _split(points: DataFrame, big: DataFrame, level: int) -> DataFrame:
     """Children of the points (rid, vec, node) of the big nodes (node, size): rid, child."""
-    inside = points.join(F.broadcast(big) if big.count() <= BROADCAST_CENTRES else big, "node")
+    inside = points.join(_small(big), "node")
     fan = F.least(F.lit(FAN), F.ceil(F.col("size") / BLOCK) + 1)
     share = (fan / F.col("size") * float(1 << 30)).cast("long")
     picked = inside.filter(F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(1 << 30)) < share)
     # a node's centres are about FAN rows at most
-    centres = stored(picked.groupBy("node").agg(F.collect_list("vec").alias("centres")), "centres")
-    few = centres.agg(F.coalesce(F.sum(F.size("centres")), F.lit(0))).first()[0] <= BROADCAST_CENTRES
-    joined = inside.join(F.broadcast(centres) if few else centres, "node").select("rid", "node", "vec", "centres")
+    numbers = F.sum(F.aggregate("centres", F.lit(0).cast("long"), lambda s, c: s + F.size(c))).alias("numbers")
+    centres = stored(picked.groupBy("node").agg(F.collect_list("vec").alias("centres")), "centres", numbers)
+    joined = inside.join(_small(centres, 8 * (told(centres, "numbers") or 0)), "node").select("rid", "node", "vec", "centres")
 
     def nearest(batches):
         for batch in batches:
@@ -82,10 +90,9 @@ def _split(points: DataFrame, big: DataFrame, level: int) -> DataFrame:
     largest = sizes.groupBy("node").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
     # where one child keeps nearly all, centres do not part the node: it is cut by hash
     alike = stored(largest.select("node", (F.col("most") > 0.9 * F.col("all")).alias("alike"), F.ceil(F.col("all") / BLOCK).alias("cuts")), "alike")
-    few = alike.count() <= BROADCAST_CENTRES
     cut = F.concat(F.lit("h"), F.pmod(F.xxhash64("rid", F.lit("cut")), F.col("cuts")).cast("string"))
     child = F.concat("node", F.lit("/"), F.when(F.col("alike"), cut).otherwise(F.col("part").cast("string")))
-    return parted.join(F.broadcast(alike) if few else alike, "node").select("rid", child.alias("child"))
+    return parted.join(_small(alike), "node").select("rid", child.alias("child"))
 
 
 def _tree(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -104,32 +111,51 @@ def _tree(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return at, levels
 
 
-def _nets(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(nodes, node of each point, covering radius of each node) of nets of halving radii; each
-    has the nodes of the one before.  Nets that hardly group anything are left out."""
-    out = []
-    nodes: list[int] = [0]
-    for radius in RADII:
-        own, dist = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-        free = np.ones(len(x), bool)
-        done = 0
-        while True:
-            if done == len(nodes):
-                left = np.flatnonzero(free)
-                if not len(left) or len(nodes) > len(x) // 4:
-                    break
-                nodes.append(int(left[0]))
-            d = _apart(x @ x[nodes[done]])
-            take = free & (d <= radius)
-            own[take], dist[take] = done, d[take]
-            free &= ~take
-            done += 1
-        if free.any():
-            break
-        cover = np.zeros(len(nodes))
-        np.maximum.at(cover, own, dist)
-        out.append((np.array(nodes), own, cover))
-    return out
+class Nets:
+    """Nested nets of halving radii over the points of a block.
+
+    Each level has nodes (points), the node of the level above that each lies under, the node
+    of each point, and each node's covering radius: the greatest distance to a point under it.
+    A node's points all lie under its own parent.  Levels that hardly group anything are left
+    out."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.levels = levels
+
+    @classmethod
+    def build(cls, x: np.ndarray) -> "Nets":
+        levels, above = [], [np.arange(len(x))]
+        for radius in RADII:
+            nodes, parents, members, covers = [], [], [], []
+            for parent, inside in enumerate(above):
+                left = inside
+                while len(left):
+                    # the point that leads the parent leads its first child, too
+                    d = _apart(x[left] @ x[left[0]])
+                    near = d <= radius
+                    nodes.append(int(left[0]))
+                    parents.append(parent)
+                    members.append(left[near])
+                    covers.append(float(d[near].max()))
+                    left = left[~near]
+                if len(nodes) > max(1, len(x) // 4):
+                    return cls(levels)
+            own = np.zeros(len(x), np.int32)
+            for node, under in enumerate(members):
+                own[under] = node
+            levels.append((np.array(nodes, np.int32), np.array(parents, np.int32), own, np.array(covers)))
+            above = members
+        return cls(levels)
+
+    def data(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{f"{k}-{i}": part for k, level in enumerate(self.levels) for i, part in enumerate(level)})
+        return out.getvalue()
+
+    @classmethod
+    def read(cls, data: bytes) -> "Nets":
+        held = np.load(io.BytesIO(data))
+        return cls([tuple(held[f"{k}-{i}"] for i in range(4)) for k in range(len(held.files) // 4)])
 
 
 def _narrow(raw: np.ndarray) -> np.ndarray:
@@ -144,7 +170,7 @@ def _points(data: bytes, rows: int, size: int) -> np.ndarray:
     return unit(np.frombuffer(data, kind).reshape(rows, size))
 
 
-_BLOCK = "node string, size long, centre array<double>, radius double, rids binary, weights binary, vecs binary"
+_BLOCK = "node string, size long, centre array<double>, radius double, rids binary, weights binary, vecs binary, nets binary"
 
 
 def _pack(key, table: pa.Table) -> pa.Table:
@@ -157,36 +183,47 @@ def _pack(key, table: pa.Table) -> pa.Table:
     centre = x[int(np.argmax(x @ middle))]
     radius = float(_apart(x @ centre).max())
     return pa.table(
-        {"node": [key[0].as_py()], "size": [len(rids)], "centre": [centre.tolist()], "radius": [radius], "rids": [rids.tobytes()], "weights": [weights.tobytes()], "vecs": [_narrow(raw).tobytes()]}
+        {"node": [key[0].as_py()], "size": [len(rids)], "centre": [centre.tolist()], "radius": [radius], "rids": [rids.tobytes()], "weights": [weights.tobytes()], "vecs": [_narrow(raw).tobytes()], "nets": [Nets.build(x).data()]}
     )
 
 
-def _spread(x: np.ndarray, y: np.ndarray, tau: float):
-    """Rows of x and of y that dual descent through both nets leaves."""
-    rows, cols = np.arange(len(x)), np.arange(len(y))
-    for (na, own_a, cover_a), (nb, own_b, cover_b) in zip(_nets(x), _nets(y)):
-        near = _apart(x[na] @ y[nb].T) <= cover_a[:, None] + cover_b[None] + tau + SLACK
-        rows = rows[near.any(1)[own_a[rows]]]
-        cols = cols[near.any(0)[own_b[cols]]]
-        if not len(rows) or not len(cols):
-            break
-    return rows, cols
-
-
-def _compare(x: np.ndarray, y: np.ndarray, cosine: float, same: bool):
+def _descend(x: np.ndarray, y: np.ndarray, own: Nets, other: Nets, tau: float):
+    """(rows of x, columns of y) that dual descent through both nets leaves to compare: pairs
+    of nodes that covering radii hold apart go, with all pairs below them."""
+    near, last = np.ones((1, 1), bool), None
+    for (na, pa_, own_a, cover_a), (nb, pb, own_b, cover_b) in zip(own.levels, other.levels):
+        near = near[pa_][:, pb] & (_apart(x[na] @ y[nb].T) <= cover_a[:, None] + cover_b[None] + tau + SLACK)
+        last = own_a, own_b
+        if not near.any():
+            return
+    if last is None:
+        yield np.arange(len(x)), np.arange(len(y))
+        return
+    own_a, own_b = last
+    order_a, order_b = np.argsort(own_a, kind="stable"), np.argsort(own_b, kind="stable")
+    ends = np.searchsorted(own_a[order_a], np.arange(len(near) + 1))
+    # nodes with the same partners are compared together
+    kinds, which = np.unique(near, axis=0, return_inverse=True)
+    for kind, partners in enumerate(kinds):
+        if partners.any():
+            rows = np.concatenate([order_a[ends[i] : ends[i + 1]] for i in np.flatnonzero(which.ravel() == kind)])
+            yield rows, order_b[partners[own_b[order_b]]]
+
+
+def _compare(x: np.ndarray, y: np.ndarray, own: Nets, other: Nets, cosine: float, same: bool):
     """(row, column) of all links between x and y; with same, both are one block."""
     tau = float(np.sqrt(2 - 2 * cosine))
-    rows, cols = _spread(x, y, tau)
-    at_r, at_c = [], []
-    for start in range(0, len(rows), 1024):
-        some = rows[start : start + 1024]
-        linked = x[some] @ y[cols].T >= cosine
-        if same:
-            linked &= some[:, None] != cols[None]
-        r, c = np.nonzero(linked)
-        at_r.append(some[r])
-        at_c.append(cols[c])
-    return (np.concatenate(at_r), np.concatenate(at_c)) if at_r else (rows, cols[:0])
+    at_r, at_c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for rows, cols in _descend(x, y, own, other, tau):
+        for start in range(0, len(rows), 1024):
+            some = rows[start : start + 1024]
+            linked = x[some] @ y[cols].T >= cosine
+            if same:
+                linked &= some[:, None] != cols[None]
+            r, c = np.nonzero(linked)
+            at_r.append(some[r])
+            at_c.append(cols[c])
+    return np.concatenate(at_r), np.concatenate(at_c)
 
 
 def _forest(r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
@@ -226,7 +263,7 @@ def _visit(cosine: float):
                 else:
                     x = _points(row["a_vecs"], len(a), len(row["a_centre"]))
                     y = _points(row["b_vecs"], len(b), len(row["b_centre"]))
-                    r, c = _compare(x, y, cosine, same)
+                    r, c = _compare(x, y, Nets.read(row["a_nets"]), Nets.read(row["b_nets"]), cosine, same)
                     if not len(r):
                         continue
                     if same:
@@ -276,17 +313,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id: str = "vec_id", v
     nothing and are kept.  Vectors of different lengths do not link.  Rows that repeat an id
     are vectors of their own; a null id counts as larger than all others.
     """
-    value = F.col(vec).cast("array<double>")
+    value = named(vec).cast("array<double>")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = F.coalesce((F.size(value) > 0) & finite & F.exists(value, lambda x: x != 0), F.lit(False))
-    keyed = vectors.select(F.col(id).alias("id"), F.when(sound, F.xxhash64(value)).alias("h1"), F.when(sound, F.xxhash64(F.lit("second"), value)).alias("h2"), F.when(sound, value).alias("vec"))
+    keyed = vectors.select(named(id).alias("id"), F.when(sound, F.xxhash64(value)).alias("h1"), F.when(sound, F.xxhash64(F.lit("second"), value)).alias("h2"), F.when(sound, value).alias("vec"))
     reps = keyed.filter("h1 is not null").groupBy("h1", "h2").agg(F.first("vec").alias("vec"), F.count("*").alias("weight"), F.min("id").alias("least"))
     reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     at, levels = _tree(reps.select("rid", "vec", "weight"))
     blocks = stored(at.select("node", "rid", "vec", "weight").groupBy("node").applyInArrow(lambda key, rows: _pack(key, rows), _BLOCK), "blocks")
     pairs = stored(_block_pairs(blocks, levels, float(np.sqrt(2 - 2 * cosine))), "block-pairs")
-    named = lambda p: blocks.select(*[F.col(c).alias(f"{p}_{c}") for c in ("node", "centre", "radius", "rids", "weights", "vecs")])
-    met = pairs.join(named("a"), F.col("a") == F.col("a_node")).join(named("b"), F.col("b") == F.col("b_node")).drop("a", "b")
+    sided = lambda p: blocks.select(*[F.col(c).alias(f"{p}_{c}") for c in ("node", "centre", "radius", "rids", "weights", "vecs", "nets")])
+    met = pairs.join(sided("a"), F.col("a") == F.col("a_node")).join(sided("b"), F.col("b") == F.col("b_node")).drop("a", "b")
     found = stored(met.mapInArrow(_visit(cosine), _FOUND), "links")
     degree = found.groupBy("rid").agg(F.sum("links").alias("links"))
     comp = components(found.filter("rid <> other").select(F.col("rid").alias("a"), F.col("other").alias("b")).distinct())

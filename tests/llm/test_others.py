@@ -94,9 +94,31 @@ def test_cover_tree(spark, block, monkeypatch):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<float>, links int").repartition(3)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in covertree.near_vectors(df).collect()}
     assert got == want
+    if block == 6:
+        monkeypatch.setattr(covertree, "BROADCAST_BYTES", 0)
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in covertree.near_vectors(df).collect()} == want
     assert covertree.near_vectors(df.filter("false")).count() == 0
 
 
+def test_nets_are_nested_and_lose_no_pair():
+    r = np.random.default_rng(6)
+    base = r.normal(size=(12, 16))
+    x = covertree.unit(np.concatenate([b + r.normal(size=(60, 16)) * 0.03 for b in base]))
+    y = covertree.unit(np.concatenate([b + r.normal(size=(40, 16)) * 0.03 for b in base[:6]]))
+    a, b = covertree.Nets.build(x), covertree.Nets.read(covertree.Nets.build(y).data())
+    assert len(a.levels) > 1 and len(b.levels) > 1
+    for (up, *_), (nodes, parents, own, cover) in zip(a.levels, a.levels[1:]):
+        assert len(nodes) >= len(up) and (a.levels[0][2][nodes] >= 0).all()
+    for k, (nodes, parents, own, cover) in enumerate(a.levels):
+        assert (covertree._apart((x * x[nodes[own]]).sum(1)) <= cover[own] + 1e-9).all() and cover.max() <= covertree.RADII[k]
+        if k:
+            assert (parents[own] == a.levels[k - 1][2]).all()
+    found = {(i, j) for rows, cols in zip(*covertree._compare(x, y, a, b, 0.95, False)) for i, j in [(rows, cols)]}
+    assert found == set(zip(*np.nonzero(x @ y.T >= 0.95)))
+    left = sum(len(rows) * len(cols) for rows, cols in covertree._descend(x, y, a, b, np.sqrt(0.1)))
+    assert left < 0.3 * len(x) * len(y)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(100 + i, 101 + i) for i in range(20)]
