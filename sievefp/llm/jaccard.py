@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join: documents whose sets of word shingles are similar.
 
-Sets are ordered rarest shingle first.  A shingle is as rare as its rarest word, by counts of
-words over all documents in a table of fixed size (words share its slots; any order that all
-sets agree on is right, a rarer-first one is fast).  Equal sets are one: they are told apart
-by 64-bit digests.  Two similar sets share a shingle among the first few of both (prefix
+Sets are ordered rarest shingle first, by counts over all documents in two tables of fixed
+size, one of shingles and one of words (whose slots many share: any order that all sets agree
+on is right, a rarer-first one is fast).  Shingles that stand out from what a slot of their
+table holds by chance come last, by how far they do; all others are as rare as their rarest
+word.  Equal sets are one: they are told apart by 64-bit digests.  Two similar sets share a shingle among the first few of both (prefix
 filter); a pair that shares one is looked at only if lengths (length filter) and the shared
 shingle's places (positional filter) leave enough room for the overlap, and if the sizes of
 the sets' parts in the hash range do (suffix filter).  Pairs are verified once each on the
@@ -11,7 +12,8 @@ whole sets, made again from the texts.
 
 What is returned are components, so a pair whose documents are known to be connected need not
 be verified: those near one another in the links found so far.  Of the documents that share a prefix shingle, each round compares one, the hub,
-with all others and then leaves it out; shingles whose documents are connected, or of which
+with all others and then leaves it out: the one with the fewest rarer shingles, which is the
+one with the fewest changes where the others are its copies; shingles whose documents are connected, or of which
 one document is left, drop out.  After HUB_ROUNDS all pairs of what is left that are still
 between different components are verified.  A large group of near copies thus takes few
 comparisons a document, and no link between components is missed.
@@ -37,59 +39,82 @@ _K = U64(0xD6E8FEB86659FD93)
 _inside = byte_table(SPACES)
 
 
-def shingle_sets(column: pa.Array, size: int, counts: np.ndarray | None = None):
-    """The sorted distinct shingle hashes of each text, one array a row; with counts of words,
-    (hashes, count of the rarest word of each)."""
+def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size words, over the borders of texts too."""
+    to = len(hashes) - size + 1
+    rolled = hashes[:to].copy()
+    for j in range(1, size):
+        rolled = rolled * _K + hashes[j : to + j]
+    return mix(rolled, size)
+
+
+class Rarity:
+    """Ranks of shingles, the rarest first: how far the slot of a shingle stands out in steps of
+    two standard deviations of what chance would put there, then the count of its rarest word."""
+
+    def __init__(self, words: np.ndarray, shingles: np.ndarray):
+        self.words = np.minimum(words, (1 << 32) - 1).astype(np.uint32)
+        usual = float(np.median(shingles))
+        self.apart = np.clip((shingles - usual) / (2 * np.sqrt(usual) + 1), 0, 255).astype(np.uint8)
+
+    def of(self, shingles: np.ndarray, rarest: np.ndarray) -> np.ndarray:
+        return self.apart[(shingles & U64(len(self.apart) - 1)).astype(np.int64)].astype(U64) << U64(32) | rarest
+
+
+def shingle_sets(column: pa.Array, size: int, rarity: Rarity | None = None):
+    """The sorted distinct shingle hashes of each text, one array a row; with rarity, (hashes,
+    the rank of each)."""
     for _, _, data, offsets in slabs(column):
         hashes, words = word_hashes(data, offsets, _inside)
-        seen = None if counts is None else counts[(hashes & U64(len(counts) - 1)).astype(np.int64)]
+        seen = None if rarity is None else rarity.words[(hashes & U64(len(rarity.words) - 1)).astype(np.int64)]
         if len(hashes) >= size:
-            to = len(hashes) - size + 1
-            rolled, rarest = hashes[:to].copy(), None if seen is None else seen[:to].copy()
-            for j in range(1, size):
-                rolled = rolled * _K + hashes[j : to + j]
-                if rarest is not None:
-                    np.minimum(rarest, seen[j : to + j], out=rarest)
-            rolled = mix(rolled, size)
+            rolled = _shingles(hashes, size)
+            if seen is not None:
+                rarest = seen[: len(rolled)].copy()
+                for j in range(1, size):
+                    np.minimum(rarest, seen[j : len(rolled) + j], out=rarest)
+                ranks = rarity.of(rolled, rarest)
         start = 0
         for n in words.tolist():
             if n >= size:
                 own = slice(start, start + n - size + 1)
-                if counts is None:
+                if rarity is None:
                     yield np.unique(rolled[own])
                 else:
                     found, first = np.unique(rolled[own], return_index=True)
-                    yield found, rarest[own][first]
+                    yield found, ranks[own][first]
             elif n:
                 value = hashes[start : start + 1]
                 for j in range(1, n):
                     value = value * _K + hashes[start + j : start + j + 1]
                 value = mix(value, n)  # the whole sequence, with its own seed for each length
-                yield value if counts is None else (value, seen[start : start + n].min(keepdims=True))
+                yield value if rarity is None else (value, rarity.of(value, seen[start : start + n].min(keepdims=True)))
             else:
-                yield np.empty(0, U64) if counts is None else (np.empty(0, U64), np.empty(0, counts.dtype))
+                yield np.empty(0, U64) if rarity is None else (np.empty(0, U64), np.empty(0, U64))
             start += n
 
 
-def _word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How often words of each slot stand in all documents."""
+def _rarity(docs: DataFrame, text: str, size: int) -> Rarity:
+    """How often words and shingles of each slot stand in all documents."""
 
     def count(batches):
-        held, n = [], 0
-        tally = lambda: {"n": np.bincount(np.concatenate(held), minlength=RARITY_SLOTS)}
+        held, n = {"words": [], "shingles": []}, 0
+        tally = lambda: {k: np.bincount(np.concatenate(v), minlength=RARITY_SLOTS) for k, v in held.items()}
         for batch in batches:
             for _, _, data, offsets in slabs(batch.column(0)):
                 hashes, _ = word_hashes(data, offsets, _inside)
-                held.append((hashes & U64(RARITY_SLOTS - 1)).astype(np.int32))
+                held["words"].append((hashes & U64(RARITY_SLOTS - 1)).astype(np.int32))
+                # those over the border of two texts count, too: they are few, and only ranks depend on it
+                held["shingles"].append((_shingles(hashes, size) & U64(RARITY_SLOTS - 1)).astype(np.int32) if len(hashes) >= size else np.empty(0, np.int32))
                 n += len(hashes)
                 if n > 1 << 21:
                     yield tally()
-                    held, n = [], 0
-        if held:
+                    held, n = {"words": [], "shingles": []}, 0
+        if n:
             yield tally()
 
-    counts = summed_counts(docs.select(named(text)), count, RARITY_SLOTS, ["n"])["n"]
-    return np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+    sums = summed_counts(docs.select(named(text)), count, RARITY_SLOTS, ["words", "shingles"])
+    return Rarity(sums["words"], sums["shingles"])
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -97,11 +122,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _signatures(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, rarity: Rarity, size: int, percent: int) -> DataFrame:
     """For docs (id, _key, text): id, _key, n, rid (a digest of the set; null if it is empty),
     prefix (its rarest shingles, rarest first) and parts (how many members fall in each part
     of the hash range).  prefix and parts are null where the task gave the same set before."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches):
         before: set[int] = set()
@@ -224,7 +249,7 @@ def _connected(docs: DataFrame, signed: DataFrame, where: DataFrame, size: int,
             here = here.withColumn("comp", F.col("rid"))
         else:
             here = here.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        hub = F.min(F.struct(F.xxhash64("rid", F.lit(step)).alias("h"), F.col("rid").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.col("comp").alias("hub_comp")))
+        hub = F.min(F.struct(F.col("at").alias("hub_at"), F.xxhash64("rid", F.lit(step)).alias("h"), F.col("rid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")))
         hubs = here.groupBy("shingle").agg(hub.alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle", "x.*").drop("h")
         met = stored(here.hint("merge").join(hubs, "shingle").filter("rid <> hub"), "met")
         drop(places)
@@ -261,7 +286,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id: st
     are documents of their own; a null id counts as larger than all others.
     """
     plain = docs.select(named(id).alias("id"), text_key(text).alias("_key"), named(text).alias("text"))
-    signed = stored(_signatures(plain, _word_counts(docs, text), size, percent), "signatures")
+    signed = stored(_signatures(plain, _rarity(docs, text, size), size, percent), "signatures")
     sets = signed.filter("rid is not null").groupBy("rid")
     where = stored(sets.agg(F.min(F.struct("id", "_key")).alias("one"), F.min("id").alias("least")).select("rid", "one.*", "least"), "sets")
     comp = _connected(plain, signed, where.select("rid", "id", "_key"), size, percent)
