@@ -36,7 +36,10 @@ def _levels(spark, sf_dir) -> DataFrame:
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
-    return featurize.hashed_tokens(_table(spark, sf_dir, "documents"))
+    texts, cores = _table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:  # a table of few files would leave most cores idle
+        texts = texts.repartition(cores)
+    return featurize.hashed_tokens(texts)
 
 
 def _engine(spark, sf_dir, fps=_signs, words: int = 1, in_memory: bool = False) -> FingerprintEngine:
