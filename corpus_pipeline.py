@@ -54,8 +54,10 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of them and of the text decoded from them."""
-    return bpe.bpe_digests(docs, vocabulary(), ids=True)
+    """Token ids of each document, and digests of them and of the text decoded from them.
+
+    The executor's memory is shared with idle workers of the stages before, so parts are small."""
+    return bpe.bpe_digests(docs, vocabulary(), ids=True, part=1 << 22, lean=True)
 
 
 STAGES = [

@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import extended, named
+from sievefp.llm.common import extended, named, parts, tidy
 
 # The byte alphabet of byte-level BPE - printable bytes stand for themselves,
 # the others follow from code point 256 on.
@@ -183,6 +184,11 @@ class TrieBpe:
         for chunk, words in found.items():
             self.chunks[chunk] = ",".join([ids[w] for w in words])
 
+    def rest(self, keep: int = 50_000) -> None:
+        """Keeps so many entries of the memo, the young half's first; words that are met first
+        are mostly frequent ones."""
+        self.chunks, self.old = dict(islice(chain(self.chunks.items(), self.old.items()), keep)), {}
+
     def _piece(self, text: str) -> str:
         """Comma-joined ids of text without special tokens.
 
@@ -285,19 +291,21 @@ def decode_documents(coded: DataFrame, path: str, ids: str = "ids", text: str =
     return base.mapInArrow(run, extended(base, text, "string"))
 
 
-def bpe_digests(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str, ids: bool = False, part: int = 1 << 25, lean: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null counts as empty.
 
     The text that is digested is decoded from the ids.  Rows that repeat, and null ids, give
     one row each.  With ids=True the column ids holds them as little-endian unsigned 32-bit
-    integers.
+    integers.  Rows are encoded and handed on in parts of so many bytes of text; with
+    lean=True a Python worker keeps only some of its memo for its next partition.  Both change
+    nothing but time and memory.
     """
     import numpy as np
 
     def run(batches):
         bpe = coder(path)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in (some for whole in batches for some in parts(whole, 1, part)):
             n, coded, plain, packed = [], [], [], []
             for joined in bpe.encode_batch(batch.column(1).to_pylist()):
                 n.append(joined.count(",") + 1 if joined else 0)
@@ -309,6 +317,8 @@ def bpe_digests(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(plain), *[pa.array(packed, pa.binary())] * ids],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids],
             )
+        if lean:
+            bpe.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' * ids}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' * ids}")

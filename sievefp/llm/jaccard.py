@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import SPACES, U64, byte_table, drop, fresh, mix, named, shuffles, slabs, stored, summed_counts, text_key, told, with_documents, word_hashes
+from sievefp.llm.common import SPACES, U64, byte_table, drop, fresh, mix, named, shuffles, slabs, stored, summed_counts, text_key, tidy, told, with_documents, word_hashes
 from sievefp.llm.graph import components, labels
 
 RARITY_SLOTS = 1 << 20
@@ -154,7 +154,7 @@ def _signatures(docs: DataFrame, rarity: Rarity, size: int, percent: int) -> Dat
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, _key long, n long, rid long, prefix array<long>, parts array<short>")
+    return docs.mapInArrow(tidy(run), f"id {kind}, _key long, n long, rid long, prefix array<long>, parts array<short>")
 
 
 def _bound(x: np.ndarray, y: np.ndarray, cuts: int = 16) -> int:
@@ -203,7 +203,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, where: DataFrame, size: int, pe
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    found = stored(spread.mapInArrow(run, "a long, b long").distinct(), "links")
+    found = stored(spread.mapInArrow(tidy(run), "a long, b long").distinct(), "links")
     drop(roles)
     return found
 

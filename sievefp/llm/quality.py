@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import U64, Hasher, drop, fresh, mix, named, slabs, stored, summed_counts
+from sievefp.llm.common import U64, Hasher, drop, fresh, mix, named, slabs, stored, summed_counts, tidy
 from sievefp.llm.common import _lower as LOWER
 
 #: Most labelled documents the fit and the cut are made from; also what is broadcast.
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(plain.weights(batch.column(0))), batch.column(1)], ["w", "good"])
 
     # at most as many rows as labelled documents (and rows that repeat their ids)
-    held = columns.filter("_good is not null and not _fit").select(named(text), "_good").mapInArrow(score, "w double, good boolean")
+    held = columns.filter("_good is not null and not _fit").select(named(text), "_good").mapInArrow(tidy(score), "w double, good boolean")
     held = held.groupBy(F.round("w", 3).alias("w"), "good").count().toPandas()
     drop(known)
     w, good, n = held["w"].to_numpy(float), held["good"].to_numpy(bool), held["count"].to_numpy(float)
@@ -232,7 +232,7 @@ def weigh(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
         for some in texts:
             yield pa.array(plain.weights(some), pa.float64())
 
-    with_weight = docs.withColumn(weight, F.arrow_udf(weights, "double")(named(text)))
+    with_weight = docs.withColumn(weight, F.arrow_udf(tidy(weights), "double")(named(text)))
     return with_weight.withColumn(key, named(weight) + gumbel(id, seed))
 
 

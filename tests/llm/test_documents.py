@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from helpers import DOCS, alnum_words, blank_words, components, corpus, documents
 
-from sievefp.llm import bpe, brown, decontaminate, jaccard, lines, registry, suffixes, tokenfile
+from sievefp.llm import bpe, brown, common, decontaminate, jaccard, lines, registry, suffixes, tokenfile
 
 
 @pytest.fixture(scope="module")
@@ -265,6 +265,24 @@ def test_bpe_on_odd_texts():
         assert own.decode(own.listed(ids)) == text
 
 
+def test_bpe_in_small_parts_that_keep_little(docs, rows):
+    """Parts and a memo that is cut between partitions change no row, and little is kept."""
+    import pyarrow as pa
+
+    want = Counter(map(tuple, bpe.bpe_digests(docs, registry.vocabulary()).collect()))
+    assert Counter(map(tuple, bpe.bpe_digests(docs, registry.vocabulary(), part=64, lean=True).collect())) == want
+    texts = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in rows], pa.string())})
+    cut = list(common.parts(texts, 0, 300))
+    assert pa.Table.from_batches(cut).column(0).to_pylist() == [t for _, t in rows]
+    size = lambda b: [len((t or "").encode()) for t in b.column(0).to_pylist()]
+    assert len(cut) > 5 and all(sum(size(b)) <= 300 or b.num_rows == 1 for b in cut)
+    own = bpe.TrieBpe(registry.vocabulary(), memo=100)
+    texts = [t for _, t in rows]
+    once = list(own.encode_batch(texts))
+    own.rest(10)
+    assert len(own.chunks) + len(own.old) <= 10 and list(own.encode_batch(texts)) == once
+
+
 def test_token_files(docs, rows, none):
     from tokenizers import Tokenizer
 
