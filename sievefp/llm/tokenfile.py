@@ -14,7 +14,8 @@ id follows by order 0: its class, one of some dozen of neighbouring ids, by adap
 frequencies of the block, and the id within its class by the prior.  All arithmetic is on
 integers, so that decoding repeats it exactly.
 
-numpy codes up to LANES blocks side by side, one id of each at a time.
+numpy codes up to LANES blocks side by side, one id of each at a time.  Spark's jobs code them
+in the JVM (TokenCoder.java: the same model block by block, with the same bytes).
 
 File format (little-endian): b"SFTK0002"; groups of blocks: u32 number of blocks, u32 bytes of
 the prior, then for each block u32 ids, u32 bytes, u32 crc32 of the ids as u32, then the prior
@@ -38,7 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievefp.llm.common import U64, named, new_path, shuffles, stored, text_key
+from sievefp.llm import jvm
+from sievefp.llm.common import U64, named, new_path, parts, shuffles, stored, text_key, tidy
 from sievefp.llm.warc import filesystem
 
 BLOCK = 4096
@@ -54,6 +56,13 @@ _ONE = 1 << _BITS
 _MEMBERS, _CLASSES = 1 << 15, 32
 #: The classes' frequencies are summed up anew after so many ids.
 _RENEW = 16
+#: Ids below this are counted and numbered in tables of so many slots.
+_DIRECT = 1 << 20
+#: Bytes of text that are tokenised at once, distinct words that are joined to one text, and
+#: bytes of words that are remembered.
+_TEXT, _JOINED, _KEPT = 8 << 20, 64, 32 << 20
+#: Marks that are a token or more by themselves behind a letter or digit.
+_MARKS = ".,;:!?"
 
 
 class Prior:
@@ -69,7 +78,12 @@ class Prior:
 
     @classmethod
     def fit(cls, ids: np.ndarray) -> "Prior":
-        found, n = np.unique(ids, return_counts=True)
+        if len(ids) and ids.max() < _DIRECT:
+            n = np.bincount(ids)
+            found = np.flatnonzero(n)
+            n = n[found]
+        else:
+            found, n = np.unique(ids, return_counts=True)
         if not len(found):
             return cls(found.astype(np.int64), found.astype(np.int64))
         classes = min(len(found), max(_CLASSES, -(-len(found) // _MEMBERS)))
@@ -354,22 +368,45 @@ class Writer:
             self.held, self.many = [every[LANES * BLOCK :]], len(every) - LANES * BLOCK
 
     def _group(self, ids: np.ndarray) -> None:
-        prior, blocks = pack(ids)
-        self._put(struct.pack("<II", len(blocks), len(prior)))
-        self._put(b"".join(struct.pack("<III", k, len(data), crc) for k, crc, data in blocks))
-        self._put(prior + b"".join(data for _, _, data in blocks))
+        self.put_group(group(*pack(ids)))
 
-    def close(self) -> None:
+    def put_group(self, data: bytes) -> None:
+        """A group that is packed already."""
+        self._put(data)
+
+    def close(self, named: bytes | None = None) -> None:
+        """Ends the file; named is its index, if it is not of the documents added."""
         if self.many:
             self._group(np.concatenate(self.held))
         self._put(struct.pack("<I", 0))
         place = self.at
-        self._put(zlib.compress(json.dumps([self.names, self.sizes]).encode()))
+        self._put(index(self.names, self.sizes) if named is None else named)
         self._put(struct.pack("<Q", place) + _END)
 
 
-def read_documents(source):
-    """(name, ids) of each document of a seekable binary file."""
+def group(prior: bytes, blocks: list[tuple[int, int, bytes]]) -> bytes:
+    """A group of packed blocks as it stands in a file."""
+    heads = b"".join(struct.pack("<III", k, len(data), crc) for k, crc, data in blocks)
+    return struct.pack("<II", len(blocks), len(prior)) + heads + prior + b"".join(data for _, _, data in blocks)
+
+
+def ungroup(data: bytes) -> tuple[bytes, list[tuple[int, int, bytes]]]:
+    many, size = struct.unpack_from("<II", data)
+    at = 8 + 12 * many
+    prior, blocks = data[at : at + size], []
+    at += size
+    for k, b, crc in struct.iter_unpack("<III", data[8 : 8 + 12 * many]):
+        blocks.append((k, crc, data[at : at + b]))
+        at += b
+    return prior, blocks
+
+
+def index(names: list[str | None], sizes: list[int]) -> bytes:
+    return zlib.compress(json.dumps([names, sizes]).encode())
+
+
+def read_index(source) -> tuple[list[str | None], list[int]]:
+    """Names and numbers of ids of the documents of a seekable binary file."""
     source.seek(0)
     if source.read(8) != _MAGIC:
         raise ValueError("not a token file")
@@ -379,57 +416,132 @@ def read_documents(source):
     if end != _END:
         raise ValueError("the token file has no end")
     source.seek(place)
-    names, sizes = json.loads(zlib.decompress(source.read(size - 16 - place)))
+    return json.loads(zlib.decompress(source.read(size - 16 - place)))
+
+
+def read_groups(source):
+    """The groups' bytes of a seekable binary file, in order."""
     source.seek(8)
-    held = np.empty(0, np.int64)
+    while many := struct.unpack("<I", head := source.read(4))[0]:
+        head += source.read(4 + 12 * many)
+        size = struct.unpack_from("<I", head, 4)[0] + sum(b for _, b, _ in struct.iter_unpack("<III", head[8:]))
+        yield head + source.read(size)
+
+
+def _documents(names, sizes, groups):
+    """(name, ids) of each document, from the ids of the groups."""
+    held = np.empty(0, np.uint32)
     for name, n in zip(names, sizes):
         while len(held) < n:
-            (many,) = struct.unpack("<I", source.read(4))
-            if not many:
+            more = next(groups, None)
+            if more is None:
                 raise ValueError("the token file lacks ids")
-            (size,) = struct.unpack("<I", source.read(4))
-            heads = [struct.unpack("<III", source.read(12)) for _ in range(many)]
-            prior = source.read(size)
-            held = np.concatenate([held, unpack(prior, [(k, crc, source.read(b)) for k, b, crc in heads])])
+            held = np.concatenate([held, more])
         yield name, held[:n]
         held = held[n:]
 
 
+def read_documents(source):
+    """(name, ids) of each document of a seekable binary file."""
+    names, sizes = read_index(source)
+    yield from _documents(names, sizes, (unpack(*ungroup(data)) for data in read_groups(source)))
+
+
 class WordTokens:
     """Ids by the tokenizers library; what stands between single blanks is encoded once.
 
     A blank after a non-blank starts a new word of a byte-level vocabulary, so such pieces
-    encode by themselves; Arrow finds the distinct ones of a batch and numpy puts their ids
+    encode by themselves, and so do a piece that ends in a letter or digit of ASCII and the
+    punctuation marks behind it.  Arrow finds the distinct pieces of a batch, the library gets
+    new ones joined (the bytes of the tokens tell where each ends), and numpy puts their ids
     together.  Texts with blanks in a row, or special tokens, go to the library whole.
+
+    Once there are more words than ``memo``, or _KEPT bytes of them, all but those of the
+    present batch are forgotten; that changes nothing but time.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.most, self.young, self.old = memo, {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _known(self, pieces: list[str]) -> list[bytes | None]:
-        """The ids of each distinct piece; None of one that does not encode by itself."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        missing = []
-        for piece in pieces:
-            if piece not in self.young:
-                known = self.old.get(piece)
-                if known is not None:
-                    self.young[piece] = known
-                elif piece[1:] and not piece[1].isspace() and not piece[-1].isspace():
-                    missing.append(piece)
-        self.young.update(zip(missing, self._ids(missing)))
-        return list(map(self.young.get, pieces))
+        added = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = list(added.values())
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte is one letter of a byte-level token
+            self.bytes_of[i] = len(added[i].encode()) if i in added else len(token)
+        self.most = memo
+        # words by number, and where the ids of each begin and how many they are
+        self.known = pa.array([], pa.string())
+        self.flat, self.begins, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        out = []  # a few texts a call: what the library returns of a token is many times its id
+        for i in range(0, len(texts), 256):
+            out += [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+        return out
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of words that encode by themselves behind a blank."""
+        if not len(words):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        cuts = pa.array([*range(0, len(words), _JOINED), len(words)], pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(cuts, words), " ")
+        ids = np.concatenate(self._ids([" " + x for x in joined.to_pylist()]))
+        ends = np.cumsum(self.bytes_of[ids])
+        wanted = np.cumsum(np.asarray(pc.binary_length(words)).astype(np.int64) + 1)
+        cuts = np.searchsorted(ends, wanted) + 1
+        if cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any():
+            own = self._ids([" " + w for w in words.to_pylist()])
+            return np.concatenate(own), np.array([len(x) for x in own], np.int64)
+        return ids, np.diff(cuts, prepend=0)
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words that stand behind a blank."""
+        found = pc.index_in(words, value_set=self.known)
+        missing = np.asarray(pc.is_null(found).cast(pa.uint8())).astype(bool)
+        new, found = words.filter(pa.array(missing)), pc.fill_null(found, 0).to_numpy().copy()
+        if len(self.known) + len(new) > self.most or self.known.nbytes + new.nbytes > _KEPT:
+            kept = found[~missing]
+            self.known, self.flat = self.known.take(pa.array(kept)), _gather(self.flat, self.begins[kept], self.sizes[kept])
+            self.sizes = self.sizes[kept]
+            self.begins = np.cumsum(self.sizes) - self.sizes
+            found[~missing] = np.arange(len(kept))
+        if len(new):
+            found[missing] = np.arange(len(self.known), len(self.known) + len(new))
+            ids, sizes = self._words(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        return found
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of distinct pieces behind a blank, number of ids of each, whether it does not
+        encode by itself)."""
+        odd = pc.or_(pc.equal(pieces, ""), pc.not_equal(pc.utf8_trim_whitespace(pieces), pieces))
+        stems = pc.utf8_rtrim(pieces, characters=_MARKS)
+        stems = pc.if_else(pc.match_substring_regex(stems, "[0-9A-Za-z]$"), stems, pieces)
+        words = pc.if_else(odd, None, stems).dictionary_encode()
+        of = pc.fill_null(words.indices, 0).to_numpy()
+        odd = np.asarray(odd.cast(pa.uint8())).astype(bool)
+        number = self._numbers(words.dictionary) if len(words.dictionary) else np.empty(0, np.int64)
+        cut = np.asarray(pc.binary_length(pieces)) > np.asarray(pc.binary_length(stems))
+        ends = [p[len(p.rstrip(_MARKS)) :] for p in pieces.filter(pa.array(cut)).to_pylist()]
+        marks = {tail: k for k, tail in enumerate(dict.fromkeys(ends), 1)}
+        own = [np.empty(0, "<u4"), *self._ids(list(marks))]
+        wide = np.array([len(x) for x in own], np.int64)
+        tail = np.zeros(len(pieces), np.int64)
+        tail[cut] = [marks[x] for x in ends]
+        # each piece is a run of its word's ids and one of its marks'
+        begins, sizes = np.zeros((len(pieces), 2), np.int64), np.zeros((len(pieces), 2), np.int64)
+        plain = np.flatnonzero(~odd)
+        begins[plain, 0], sizes[plain, 0] = self.begins[number[of[plain]]], self.sizes[number[of[plain]]]
+        begins[:, 1], sizes[:, 1] = len(self.flat) + (np.cumsum(wide) - wide)[tail], wide[tail]
+        sizes[odd] = 0
+        return _gather(np.concatenate([self.flat, *own]), begins.ravel(), sizes.ravel()), sizes.sum(1), odd
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's ids end); null is empty."""
@@ -437,45 +549,49 @@ class WordTokens:
             return np.empty(0, "<u4"), np.empty(0, np.int64)
         texts = pc.fill_null(texts.cast(pa.string()), "")
         split = pc.split_pattern(texts, " ")
-        ends = np.asarray(split.offsets)[1:] - np.asarray(split.offsets)[0]
-        pieces = split.flatten()
+        ends = np.asarray(split.offsets)[1:].astype(np.int64) - np.asarray(split.offsets)[0]
         first = np.concatenate([[0], ends[:-1]])
-        blank = np.full(len(pieces), " ")
-        blank[first] = ""  # a text's first piece has no blank before it
-        pieces = pc.binary_join_element_wise(pa.array(blank), pieces, "").dictionary_encode()
-        at, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
-        heads = np.unique(at[first])
-        lead = [distinct[i] for i in heads.tolist()]
-        found = self._known([d if d[:1] == " " else "" for d in distinct])
-        whole = [d for d in lead if d[:1] != " " and d and not d[-1].isspace()]
-        plain = dict(zip(whole, self._ids(whole)))
-        for i, d in zip(heads.tolist(), lead):
-            if d[:1] != " ":
-                found[i] = plain.get(d)
-        odd = np.array([f is None for f in found])
-        sizes = np.array([0 if f is None else len(f) >> 2 for f in found], np.int64)
-        flat = np.frombuffer(b"".join(f for f in found if f), "<u4")
-        begins = np.cumsum(sizes) - sizes
-        alone = np.logical_or.reduceat(odd[at], first) if len(first) else np.zeros(0, bool)
+        pieces = split.flatten()
+        lead = pieces.take(pa.array(first)).to_pylist()
+        coded = pieces.dictionary_encode()
+        del split, pieces
+        flat, known, odd = self._pieces(coded.dictionary)
+        # a text's first piece has no blank before it: it has a code of its own
+        alone = np.array([not d or d[-1].isspace() for d in lead])
+        own = self._ids(["" if skip else d for d, skip in zip(lead, alone.tolist())])
+        size = np.array([len(x) for x in own], np.int64)
+        at = coded.indices.to_numpy().copy()
+        at[first] = np.arange(len(known), len(known) + len(first), dtype=at.dtype)
+        sizes = np.concatenate([known, size])
+        begins, sizes = (np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32)
+        alone |= np.logical_or.reduceat(np.concatenate([odd, np.zeros(len(first), bool)])[at], first)
         for special in self.special:
             alone |= np.asarray(pc.match_substring(texts, special).cast(pa.uint8())).astype(bool)
-        of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-        n = sizes[at] * ~alone[of]
-        total = np.cumsum(n)
-        ids = flat[np.repeat(begins[at] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
-        per = np.bincount(of, n, len(texts)).astype(np.int64)
-        if alone.any():
-            which = np.flatnonzero(alone)
-            own = [np.frombuffer(x, "<u4") for x in self._ids([texts[i].as_py() for i in which.tolist()])]
-            cuts, parts, done = np.cumsum(per), [], 0
-            for i, x in zip(which.tolist(), own):
-                parts += [ids[done : cuts[i]], x]
+        n = sizes.take(at)
+        which = np.flatnonzero(alone)
+        for i in which.tolist():
+            n[first[i] : ends[i]] = 0
+        ids = _gather(np.concatenate([flat, *own]), begins.take(at), n)
+        per = np.add.reduceat(n, first, dtype=np.int64)
+        if len(which):
+            whole = self._ids(texts.take(pa.array(which)).to_pylist())
+            cuts, kept, done = np.cumsum(per), [], 0
+            for i, x in zip(which.tolist(), whole):
+                kept += [ids[done : cuts[i]], x]
                 done = cuts[i]
-            ids = np.concatenate([*parts, ids[done:]])
-            per[which] = [len(x) for x in own]
+            ids = np.concatenate([*kept, ids[done:]])
+            per[which] = [len(x) for x in whole]
         return ids, np.cumsum(per)
 
 
+def _gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat of these begins and sizes, one after another."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    many = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(many, len(flat)) < 1 << 31 else np.int64
+    return flat.take(np.repeat((begins - (ends - sizes)).astype(kind), sizes) + np.arange(many, dtype=kind))
+
+
 _tokens: dict[str, WordTokens] = {}
 
 
@@ -486,56 +602,117 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     Files that a lost or repeated task left are not listed."""
     base = docs.select(named(id).alias("id"), named(text).alias("text"), text_key(text).alias("_key"))
     order = base.repartitionByRange(shuffles(docs.sparkSession), F.col("id").asc_nulls_first(), "_key").sortWithinPartitions(F.col("id").asc_nulls_first(), "_key")
+    kinds = "ids binary, prior binary, named binary, docs long, tokens long"
+    schema = pa.schema([("ids", pa.binary()), ("prior", pa.binary()), ("named", pa.binary()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
-    def write(batches):
-        out, writer, name, tokens = None, None, f"{folder}/{uuid.uuid4().hex}.tok", 0
+    @tidy
+    def tokenise(batches):  # a row for each group of blocks, then one of the index
         coder = _tokens.get(vocabulary) or _tokens.setdefault(vocabulary, WordTokens(vocabulary))
+        names, sizes, held, many, tokens = [], [], [], 0, 0
+        for part in _together(batches, 1, _TEXT):
+            ids, ends = coder.encode(part.column(1))
+            held.append(np.insert(ids, ends, end_id))
+            names += part.column(0).to_pylist()
+            sizes += (np.diff(ends, prepend=0) + 1).tolist()
+            many += len(held[-1])
+            while many >= LANES * BLOCK:
+                every = np.concatenate(held)
+                yield _row(schema, every[: LANES * BLOCK])
+                held, many, tokens = [every[LANES * BLOCK :]], many - LANES * BLOCK, tokens + LANES * BLOCK
+        if many:
+            yield _row(schema, np.concatenate(held))
+        if names:
+            yield pa.RecordBatch.from_pylist([{"named": index(names, sizes), "docs": len(names), "tokens": tokens + many}], schema)
+
+    @tidy
+    def write(batches):
+        out, writer, name = None, None, f"{folder}/{uuid.uuid4().hex}.tok"
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for data, named, docs, tokens in zip(*batch.columns):
                 if writer is None:
                     files, inner = filesystem(folder)
                     files.create_dir(inner, recursive=True)
                     out = files.open_output_stream(f"{inner}/{name.rpartition('/')[2]}", compression=None)
                     writer = Writer(out)
-                ids, ends = coder.encode(part.column(1))
-                ids = np.insert(ids.astype(np.int64), ends, end_id)
-                sizes = np.diff(ends, prepend=0) + 1
-                writer.add(part.column(0).to_pylist(), sizes.tolist(), ids)
-                tokens += len(ids)
-        if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([len(writer.names)]), pa.array([tokens])], ["part", "path", "docs", "tokens"]
-            )
+                if data.is_valid:
+                    writer.put_group(data.as_buffer())
+                    continue
+                writer.close(named.as_py())
+                out.close()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([docs.as_py()]), pa.array([tokens.as_py()])], ["part", "path", "docs", "tokens"]
+                )
 
     texts = order.select(F.col("id").cast("string"), "text")
-    return stored(texts.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-files")
+    code = jvm.function(docs.sparkSession, "TokenCoder")
+    packed = texts.mapInArrow(tokenise, kinds).select(code("ids", "prior").alias("data"), "named", "docs", "tokens")
+    return stored(packed.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-files")
+
+
+def _together(batches, column: int, most: int):
+    """Batches of rows whose texts have about so many bytes together, in order."""
+    held, size = [], 0
+    for batch in batches:
+        for part in parts(batch, column, most):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    yield from pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+
+
+def _row(schema: pa.Schema, ids: np.ndarray) -> pa.RecordBatch:
+    """The row of a group's ids and prior."""
+    return pa.RecordBatch.from_pylist([{"ids": ids.astype("<u4").tobytes(), "prior": Prior.fit(ids).data()}], schema)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """id (string), start, n_tokens, ids_crc32 of every document of the files written."""
     starts = files.select("path", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("first"))  # a row for each file
+    kinds = "first long, named binary, data binary"
+    schema = pa.schema([("first", pa.int64()), ("named", pa.binary()), ("data", pa.binary())])
 
-    def read(batches):
+    @tidy
+    def fetch(batches):  # a row of each file's index, then one for each group
         for batch in batches:
             for path, first in zip(*(c.to_pylist() for c in batch.columns)):
                 system, inner = filesystem(path)
-                names, begins, sizes, sums = [], [], [], []
                 with system.open_input_file(inner) as source:
-                    for name, ids in read_documents(source):
-                        names.append(name)
-                        begins.append(first)
-                        sizes.append(len(ids))
-                        sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                        first += len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in (begins, sizes, sums))], ["id", "start", "n_tokens", "ids_crc32"]
-                )
+                    yield pa.RecordBatch.from_pylist([{"first": first, "named": index(*read_index(source))}], schema)
+                    for data in read_groups(source):
+                        yield pa.RecordBatch.from_pylist([{"data": data}], schema)
+
+    @tidy
+    def read(batches):
+        rows = (row for batch in batches for row in zip(*batch.columns))
+        head = next(rows, None)
+        while head is not None:
+            first, heads = head[0].as_py(), []
+            names, sizes = json.loads(zlib.decompress(head[1].as_py()))
+            begins, sums = (first + np.cumsum([0, *sizes[:-1]])).tolist(), []
+
+            def groups():
+                for row in rows:
+                    if row[0].is_valid:  # the next file
+                        heads.append(row)
+                        return
+                    yield np.frombuffer(row[2].as_buffer(), "<u4")
+
+            more = groups()
+            for _, ids in _documents(names, sizes, more):
+                sums.append(zlib.crc32(ids.astype("<u4", copy=False)))
+            for _ in more:
+                pass
+            head = heads[0] if heads else None
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in (begins, sizes, sums))], ["id", "start", "n_tokens", "ids_crc32"]
+            )
 
-    spread = starts.repartition(max(shuffles(files.sparkSession), 1), "path")
-    return spread.mapInArrow(read, "id string, start long, n_tokens long, ids_crc32 long")
+    spread = starts.repartition(max(shuffles(files.sparkSession), 1), "path").mapInArrow(fetch, kinds)
+    code = jvm.function(files.sparkSession, "TokenCoder")
+    ids = spread.select("first", "named", code("data", F.lit(None).cast("binary")).alias("ids"))
+    return ids.mapInArrow(read, "id string, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digests(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -362,6 +362,97 @@ def test_word_tokens_on_odd_texts():
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts] or not texts
 
 
+def test_jvm_coder_writes_the_same_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from sievefp.llm import jvm
+
+    r = np.random.default_rng(3)
+    cases = [r.integers(0, 50257, 9000), r.integers(0, 3, 5000), np.full(4097, 50256), r.integers(0, 1 << 32, 9000), np.tile(np.array([5, 900, 17, 40000]), 2000), np.array([(1 << 32) - 1, 0])]
+    packed = [(ids.astype("<u4").tobytes(), *tokenfile.pack(ids.astype(np.int64))) for ids in cases]
+    table = spark.createDataFrame([(bytearray(ids), bytearray(prior), bytearray(tokenfile.group(prior, blocks))) for ids, prior, blocks in packed], "ids binary, prior binary, data binary")
+    code = jvm.function(spark, "TokenCoder")
+    got = table.select(code("ids", "prior") == F.col("data"), code("data", F.lit(None).cast("binary")) == F.col("ids")).collect()
+    assert [tuple(x) for x in got] == [(True, True)] * len(cases)
+    for _, prior, blocks in packed:
+        assert tokenfile.ungroup(tokenfile.group(prior, blocks)) == (prior, blocks)
+    ids, prior, [(k, crc, data), *more] = packed[0]
+    for at in (0, 5, 100, len(data) - 9):
+        broken = data[:at] + bytes([data[at] ^ 0x41]) + data[at + 1 :]
+        bad = spark.createDataFrame([(bytearray(tokenfile.group(prior, [(k, crc, broken), *more])),)], "data binary")
+        with pytest.raises(Exception, match="block 0 is damaged"):
+            bad.select(code("data", F.lit(None).cast("binary"))).collect()
+
+
+def test_token_files_of_spark_are_read_without_it(docs, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(registry.vocabulary())
+    files = tokenfile.write_token_files(docs, common.new_path(docs.sparkSession, "tokens"), registry.vocabulary())
+    got = Counter()
+    for f in files.collect():
+        with open(f.path.removeprefix("file:"), "rb") as source:
+            found = [(name, tuple(ids.tolist())) for name, ids in tokenfile.read_documents(source)]
+        assert (len(found), sum(len(ids) for _, ids in found)) == (f.docs, f.tokens)
+        got.update(found)
+    assert got == Counter((None if i is None else str(i), (*library.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows)
+
+
+def test_token_groups_over_documents(spark, monkeypatch):
+    """Documents that lie across groups of blocks, and files of several groups."""
+    monkeypatch.setattr(tokenfile, "LANES", 2)
+    import io
+
+    r = np.random.default_rng(0)
+    out = io.BytesIO()
+    writer = tokenfile.Writer(out)
+    want = [(str(i), r.integers(0, 900, n).tolist()) for i, n in enumerate((5, 20_000, 0, 3000, 8192, 1))]
+    for name, ids in want:
+        writer.add([name], [len(ids)], np.array(ids, np.int64))
+    writer.close()
+    assert len(list(tokenfile.read_groups(out))) == 4
+    assert [(name, ids.tolist()) for name, ids in tokenfile.read_documents(out)] == want
+    path = common.new_path(spark, "tokens") + ".tok"
+    with open(path.removeprefix("file:"), "wb") as f:
+        f.write(out.getvalue())
+    files = spark.createDataFrame([(0, path, 6, 31198), (1, path, 6, 31198)], "part long, path string, docs long, tokens long")
+    got = tokenfile.read_token_files(files).collect()
+    starts = np.cumsum([0, *[len(ids) for _, ids in want] * 2])[:-1].tolist()
+    assert sorted((r.start, r.n_tokens, r.id, r.ids_crc32) for r in got) == sorted((s, len(ids), name, zlib.crc32(np.array(ids, "<u4").tobytes())) for s, (name, ids) in zip(starts, want * 2))
+
+
+def test_word_tokens_ask_the_library_for_joined_words():
+    """Distinct words go to the library many at a time; marks behind words, a small memo and
+    words that cannot be told apart by bytes change no id."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(registry.vocabulary())
+    r = np.random.default_rng(0)
+    word = lambda: "".join(r.choice(list("abcdefgh9é'-日"), r.integers(1, 8))) + r.choice(["", "", ".", ",", "!?", "...", "'s,", ":x;", "9.", "\u00a0"])
+    texts = [" ".join(word() for _ in range(300)) for _ in range(30)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for memo in (1_000_000, 10, 0):
+        own = tokenfile.WordTokens(registry.vocabulary(), memo=memo)
+        asked = []
+        plain = own._ids
+        own._ids = lambda x: asked.extend(x) or plain(x)
+        for some in (texts[:10], texts[10:], texts):
+            ids, ends = own.encode(pa.array(some))
+            at = texts.index(some[0])
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == want[at : at + len(some)]
+    clean = [" ".join(f"w{i}x{j}." for j in range(100)) for i in range(64)]
+    own = tokenfile.WordTokens(registry.vocabulary())
+    asked = []
+    plain = own._ids
+    own._ids = lambda x: asked.extend(x) or plain(x)
+    ids, ends = own.encode(pa.array(clean))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in clean]
+    assert len(asked) < 300  # 6,336 distinct words behind blanks: 99 texts, and 64 first words
+    own.bytes_of[:] = 1
+    assert own.encode(pa.array(["a new1 word2 here3"]))[0].tolist() == library.encode("a new1 word2 here3", add_special_tokens=False).ids
+
+
 def test_brown(docs, rows, none, monkeypatch):
     monkeypatch.setattr(brown, "HEAD", 40)
     crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
