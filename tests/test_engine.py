@@ -149,6 +149,14 @@ def test_tiles_of_any_size_find_the_same(fps, metric):
     assert set(same(search.batch_top_k(fps, asked, 2, 0.4, metric, 2).drop("rank"))) <= set(same(whole))
 
 
+def test_matrix_takes_few_bytes_a_pair(spark, tmp_path):
+    words = [int(w) for w in np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 1500)]
+    df = spark.createDataFrame([(i, [w], (w & (1 << 64) - 1).bit_count()) for i, w in enumerate(words)], featurize.SCHEMA)
+    search.distance_matrix(df, 0.5, "cosine").write.parquet(str(tmp_path / "matrix"))
+    n = spark.read.parquet(str(tmp_path / "matrix")).count()
+    assert n > 1_000_000 and sum(f.stat().st_size for f in (tmp_path / "matrix").glob("*.parquet")) < 2.5 * n
+
+
 def test_strips_cut_a_common_popcount():
     assert tiles.strips({1: 3, 2: 4, 3: 100, 5: 1}, 8) == [(1, 2, 1), (3, 3, 13), (5, 5, 1)]
 
