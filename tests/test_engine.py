@@ -149,6 +149,26 @@ def test_tiles_of_any_size_find_the_same(fps, metric):
     assert set(same(search.batch_top_k(fps, asked, 2, 0.4, metric, 2).drop("rank"))) <= set(same(whole))
 
 
+def test_a_block_meets_itself_whatever_the_order_of_its_copies():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    words, ids = r.integers(0, 1 << 63, 60), np.arange(60)
+    pops = np.array([int(w).bit_count() for w in words])
+    copy = lambda order: [pa.scalar(x[order].astype(kind).tobytes()) for x, kind in ((ids, "<i8"), (pops, "<i4"), (words, "<i8"))]
+    rows = [(False, 5, None, *copy(ids)), (True, 5, 5, *copy(ids[::-1]))]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.as_py() if isinstance(x, pa.Scalar) else x for x in c], k) for c, k in zip(zip(*rows), kinds)], list("oabipw"))
+
+    def found(x, y, same):
+        for i, j, _ in tiles._found(x, y, "dice", 0.5, same):
+            yield from zip(x.ids[i].tolist(), y.ids[j].tolist())
+
+    got = list(tiles._visit("dice", 0.5, found, True)([batch]))
+    want = {(i, j) for i in range(60) for j in range(i) if 4 * int(words[i] & words[j]).bit_count() >= pops[i] + pops[j]}
+    assert len(got) == len(want) and {(max(p), min(p)) for p in got} == want
+
+
 def test_matrix_takes_few_bytes_a_pair(spark, tmp_path):
     words = [int(w) for w in np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 1500)]
     df = spark.createDataFrame([(i, [w], (w & (1 << 64) - 1).bit_count()) for i, w in enumerate(words)], featurize.SCHEMA)
