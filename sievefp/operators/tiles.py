@@ -22,8 +22,12 @@ from sievefp.plans.bounds import partner_limit, popcount_range
 TILE = 4096
 #: Rows of a block that one product takes.
 _ROWS = 512
-#: Partners of a block that travel with one copy of it.
+#: Partners of a block that travel with one copy of it, at least where the k best are kept.
 _SHARE = 8
+#: Panels a core where the k best are kept, so many at least.
+_PANELS = 16
+#: Columns of the first block that tell what a row's k best must reach at least.
+_PROBE = 512
 #: Room for rounding in single precision; what lies within is computed exactly.
 _SLACK = 0.01
 
@@ -62,7 +66,7 @@ def _blocks(rows: DataFrame, id: str, width: int, tile: int) -> tuple[DataFrame,
     return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, pops binary, words binary"), plan
 
 
-def _pairs(spark, left: list, right: list, reach, mirror: bool) -> DataFrame:
+def _pairs(spark, left: list, right: list, reach, mirror: bool, share: int = _SHARE) -> DataFrame:
     """(a, b, share) of the blocks of two lists of strips that reach(left strip) = (least,
     greatest popcount) lets meet; with mirror, both lists are one and a <= b."""
     rows = []
@@ -79,7 +83,7 @@ def _pairs(spark, left: list, right: list, reach, mirror: bool) -> DataFrame:
     block = lambda s, i: F.call_function("shiftleft", F.col(s).cast("long"), F.lit(32)) + F.col(i)
     both = met.select("s", "t", i.alias("i"), "kt").select("s", "t", "i", j.alias("j")).select(block("s", "i").alias("a"), block("t", "j").alias("b"))
     both = both.filter("a <= b") if mirror else both
-    return both.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(max(1, -(-sum(k for *_, k in right) // _SHARE)))))
+    return both.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(max(1, -(-sum(k for *_, k in right) // share)))))
 
 
 class _Block:
@@ -97,13 +101,23 @@ class _Block:
         else:
             self.bits[:, width], self.bits[:, width + 1] = (np.sqrt(self.pops), 0) if metric == "cosine" else (1, self.pops)
 
-    def ask(self, metric: str, threshold: float) -> None:
-        """Common bits must reach: tanimoto t / (1 + t) (q + d), dice t / 2 (q + d), cosine t sqrt(q d)."""
-        t = max(threshold, 0)
+    def ask(self, metric: str, threshold) -> None:
+        """Common bits must reach: tanimoto t / (1 + t) (q + d), dice t / 2 (q + d), cosine t sqrt(q d);
+        the threshold is one, or one for each row."""
+        t = np.maximum(threshold, 0)
         share = {"tanimoto": t / (1 + t), "dice": t / 2, "cosine": t}[metric]
         own = np.sqrt(self.pops) if metric == "cosine" else self.pops
+        self.least = np.broadcast_to(np.float32(threshold), len(self.ids))
         self.bits[:, -2], self.bits[:, -1] = -share * own, -share
 
+    def first(self, start: int, n: int) -> _Block:
+        """Some of the rows, without copies."""
+        out = _Block.__new__(_Block)
+        for name in ("ids", "pops", "bits", "least"):
+            if hasattr(self, name):
+                setattr(out, name, getattr(self, name)[start : start + n])
+        return out
+
 
 def _coefficient(metric: str, c: np.ndarray, q: np.ndarray, d: np.ndarray) -> np.ndarray:
     """As metrics.coefficient, nan without bits to divide by."""
@@ -113,8 +127,8 @@ def _coefficient(metric: str, c: np.ndarray, q: np.ndarray, d: np.ndarray) -> np
         return (2 * c / (q + d)).astype(np.float32) if metric == "dice" else (c / np.sqrt(q * d)).astype(np.float32)
 
 
-def _found(x: _Block, y: _Block, metric: str, threshold: float, same: bool) -> Iterator[tuple]:
-    """(rows, columns, coefficients) of what reaches the threshold, some rows of x at a time;
+def _found(x: _Block, y: _Block, metric: str, same: bool) -> Iterator[tuple]:
+    """(rows, columns, coefficients) of what reaches x's threshold, some rows of x at a time;
     with same, each pair of one block once."""
     (a, b), (c, d) = x.bits[:, -2:].T.astype(np.float64), y.bits[:, -2:].T.astype(np.float64)
     for start in range(0, len(x.ids), _ROWS):
@@ -129,7 +143,7 @@ def _found(x: _Block, y: _Block, metric: str, threshold: float, same: bool) -> I
             rows += start
             common = np.rint(product[one] - a[rows] * c[cols] - b[rows] * d[cols])
             coeff = _coefficient(metric, common, x.pops[rows], y.pops[cols])
-            hit = coeff >= np.float32(threshold)
+            hit = coeff >= x.least[rows]
             yield rows[hit], cols[hit], coeff[hit]
 
 
@@ -142,9 +156,9 @@ def _panels(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("other", "a", "b", "ids", "pops", "words")
 
 
-def _visit(metric: str, threshold: float, found, mirror: bool):
-    """Runs over panels and yields what found(x, y, same) does of each pair of blocks; with
-    mirror, both are of one table.
+def _visit(metric: str, threshold: float, found, mirror: bool, end=lambda x: ()):
+    """Runs over panels and yields what found(x, y, same) does of each pair of blocks, and end(x)
+    of each panel; with mirror, both blocks are of one table.
 
     A block that meets itself is compared with the copy at hand: another copy may hold its
     rows in another order, as a shuffle brings them in any, and each pair is told by order."""
@@ -155,9 +169,11 @@ def _visit(metric: str, threshold: float, found, mirror: bool):
             for other, a, b, *held in zip(*batch.columns):
                 held, same = [h.as_buffer() for h in held], mirror and a.as_py() == b.as_py()
                 if not other.as_py():
+                    yield from end(x) if x else ()
                     x, own = _Block(*held, metric, threshold, True), held
                 else:
                     yield from found(x, _Block(*(own if same else held), metric, threshold, False), same)
+        yield from end(x) if x else ()
 
     return run
 
@@ -166,7 +182,7 @@ def half_matrix(fps: DataFrame, threshold: float, metric: str, width: int, tile:
     """i, j, coeff of each pair of different rows that reaches the threshold, once."""
 
     def found(x, y, same):
-        for rows, cols, coeff in _found(x, y, metric, threshold, same):
+        for rows, cols, coeff in _found(x, y, metric, same):
             yield pa.RecordBatch.from_arrays([pa.array(x.ids[rows]), pa.array(y.ids[cols]), pa.array(coeff)], ["i", "j", "coeff"])
 
     return _half_panels(fps, threshold, metric, width, tile).mapInArrow(_visit(metric, threshold, found, True), "i long, j long, coeff float")
@@ -179,7 +195,7 @@ def matrix(fps: DataFrame, threshold: float, metric: str, width: int, tile: int
     than j: the result is what this costs on disk."""
 
     def found(x, y, same):
-        for rows, cols, coeff in _slabs(_found(x, y, metric, threshold, same)):
+        for rows, cols, coeff in _slabs(_found(x, y, metric, same)):
             dist = (np.float32(1) - coeff).view(np.uint32).astype(np.uint64)
             yield from _sorted(rows, dist, cols, x.ids, y.ids)
             yield from _sorted(cols, dist, rows, y.ids, x.ids)
@@ -217,8 +233,11 @@ def _sorted(i: np.ndarray, dist: np.ndarray, j: np.ndarray, i_ids: np.ndarray, j
 
 
 def best_matches(fps: DataFrame, queries: DataFrame, k: int | None, threshold: float, metric: str, width: int, tile: int = TILE) -> DataFrame:
-    """query_id, mol_id, coeff of all rows that reach the threshold; with k, of each pair of
-    blocks the k best for each query only: the k best of all are among them."""
+    """query_id, mol_id, coeff of all rows that reach the threshold; with k, of each panel (a
+    block of queries and some blocks of rows) the k best for each query only: the k best of all
+    are among them.
+
+    With k, a row is computed only if it reaches the k-th best that its query has so far."""
     blocks, plan = _blocks(fps.select("mol_id", "words", "popcnt"), "mol_id", width, tile)
     asked, ask_plan = _blocks(queries.select("query_id", "words", "popcnt"), "query_id", width, tile)
     ranges = [popcount_range(metric, p, threshold * (1 - 1e-9), width) or (1, 0) for p in range(width + 1)]
@@ -227,29 +246,56 @@ def best_matches(fps: DataFrame, queries: DataFrame, k: int | None, threshold: f
         open_ = [r for r in ranges[low : high + 1] if r[0] <= r[1]] if threshold > 0 else [(0, width)]
         return (min(r[0] for r in open_), max(r[1] for r in open_)) if open_ else (1, 0)
 
-    pairs = _pairs(fps.sparkSession, ask_plan, plan, reach, False)
-
     def found(x, y, same):
-        for start in range(0, len(x.ids), _ROWS):
-            parts = _found(_some(x, start), y, metric, threshold, False)
-            if k is None:
-                for rows, cols, coeff in parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(x.ids[start + rows]), pa.array(y.ids[cols]), pa.array(coeff)], ["query_id", "mol_id", "coeff"])
-                continue
-            kept = list(parts)
-            if not kept:
-                continue
-            rows, cols, coeff = (np.concatenate(c) for c in zip(*kept))
-            order = np.lexsort((y.ids[cols], -coeff, rows))
-            rows, cols, coeff = rows[order], cols[order], coeff[order]
-            first = np.searchsorted(rows, rows)
-            top = np.arange(len(rows)) - first < k
-            yield pa.RecordBatch.from_arrays([pa.array(x.ids[start + rows[top]]), pa.array(y.ids[cols[top]]), pa.array(coeff[top])], ["query_id", "mol_id", "coeff"])
-
-    return _panels(pairs, asked, blocks).mapInArrow(_visit(metric, threshold, found, False), "query_id long, mol_id long, coeff float")
-
-
-def _some(x: _Block, start: int) -> _Block:
-    out = _Block.__new__(_Block)
-    out.ids, out.pops, out.bits = (a[start : start + _ROWS] for a in (x.ids, x.pops, x.bits))
-    return out
+        for rows, cols, coeff in _found(x, y, metric, False):
+            yield _matches(x.ids[rows], y.ids[cols], coeff)
+
+    share = _SHARE
+    if k is not None:  # few panels give few rows to rank, but each core has several
+        every = sum(n for *_, n in plan) * sum(n for *_, n in ask_plan)
+        share = max(_SHARE, every // (_PANELS * fps.sparkSession.sparkContext.defaultParallelism))
+    panels = _panels(_pairs(fps.sparkSession, ask_plan, plan, reach, False, share), asked, blocks)
+    if k is None:
+        run = _visit(metric, threshold, found, False)
+    else:
+        run = _visit(metric, threshold, lambda x, y, same: _keep(x, y, metric, threshold, k), False, _kept)
+    return panels.mapInArrow(run, "query_id long, mol_id long, coeff float")
+
+
+def _matches(query_ids: np.ndarray, mol_ids: np.ndarray, coeff: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(mol_ids), pa.array(coeff)], ["query_id", "mol_id", "coeff"])
+
+
+def _keep(x: _Block, y: _Block, metric: str, threshold: float, k: int) -> tuple:
+    """Brings x.best, the k best of each row so far (rows, ids, coefficients, by row), up to y;
+    gives no rows yet.  Coefficients of the k-th best are reached too, for ids decide ties."""
+    least, least_id = np.full(len(x.ids), threshold, np.float32), np.full(len(x.ids), np.iinfo(np.int64).max)
+    if not hasattr(x, "best"):
+        x.best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        if 0 < k <= len(y.ids):
+            few = y.first(0, _PROBE) if k <= _PROBE else y
+            for start in range(0, len(x.ids), _ROWS):
+                some = slice(start, start + _ROWS)
+                common = (x.bits[some, :-2] @ few.bits[:, :-2].T).astype(np.float64)
+                coeff = np.nan_to_num(_coefficient(metric, common, x.pops[some, None], few.pops), nan=-np.inf)
+                least[some] = np.maximum(least[some], np.partition(coeff, len(few.ids) - k, axis=1)[:, len(few.ids) - k])
+    else:
+        rows, ids, coeff = x.best
+        last = np.flatnonzero(np.bincount(rows, minlength=len(x.ids)) == k)  # k best are known
+        at = np.searchsorted(rows, last, "right") - 1
+        least[last], least_id[last] = np.maximum(least[last], coeff[at]), ids[at]
+    x.ask(metric, least)
+    for rows, cols, coeff in _slabs(_found(x, y, metric, False)):
+        ids = y.ids[cols]
+        better = (coeff > least[rows]) | (ids < least_id[rows])
+        rows, ids, coeff = (np.concatenate((old, new[better])) for old, new in zip(x.best, (rows, ids, coeff)))
+        order = np.lexsort((ids, -coeff, rows))
+        order = order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order]) < k]
+        x.best = rows[order], ids[order], coeff[order]
+    return ()
+
+
+def _kept(x: _Block) -> Iterator[pa.RecordBatch]:
+    rows, ids, coeff = getattr(x, "best", ((), (), ()))
+    if len(rows):
+        yield _matches(x.ids[rows], ids, coeff)

@@ -161,7 +161,7 @@ def test_a_block_meets_itself_whatever_the_order_of_its_copies():
     batch = pa.RecordBatch.from_arrays([pa.array([x.as_py() if isinstance(x, pa.Scalar) else x for x in c], k) for c, k in zip(zip(*rows), kinds)], list("oabipw"))
 
     def found(x, y, same):
-        for i, j, _ in tiles._found(x, y, "dice", 0.5, same):
+        for i, j, _ in tiles._found(x, y, "dice", same):
             yield from zip(x.ids[i].tolist(), y.ids[j].tolist())
 
     got = list(tiles._visit("dice", 0.5, found, True)([batch]))
@@ -189,6 +189,24 @@ def test_batch_equals_single_searches(fps, rows):
         assert sorted((r.rank, r.mol_id) for r in got if r.query_id == i) == [(k + 1, r.mol_id) for k, r in enumerate(one)]
 
 
+@pytest.mark.parametrize("metric", metrics.SYMMETRIC)
+def test_best_matches_give_k_a_panel(spark, metric):
+    """Many ties, copies of one row, empty rows, and blocks smaller than k."""
+    r = random.Random(9)
+    some = [(i, r.sample(range(128), r.randrange(0, 6))) for i in range(240)] + [(i, [1, 2, 3]) for i in range(240, 300)]
+    df = table(spark, some)
+    asked = df.filter("mol_id % 5 = 0").select(F.col("mol_id").alias("query_id"), "words", "popcnt")
+    for threshold, k in ((0.0, 4), (0.5, 2)):
+        got = {}
+        found = tiles.best_matches(df, asked, k, threshold, metric, 128, tile=9).collect()
+        for x in found:
+            got.setdefault(x.query_id, []).append((-x.coeff, x.mol_id))
+        for i, p in some[::5]:
+            every = sorted((-float(c), j) for j, q in some if (c := coeff(metric, p, q)) is not None and c >= np.float32(threshold))
+            assert sorted(got.get(i, []))[:k] == every[:k]
+        assert max(len(x) for x in got.values()) <= k * 300 // 9 // 3  # not k a block: some partners share a panel
+
+
 @pytest.mark.parametrize("index", ["RR", "JT", "SM"])
 def test_complementary_is_dense(spark, index):
     r = np.random.default_rng(1)
