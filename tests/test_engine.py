@@ -207,6 +207,19 @@ def test_best_matches_give_k_a_panel(spark, metric):
         assert max(len(x) for x in got.values()) <= k * 300 // 9 // 3  # not k a block: some partners share a panel
 
 
+def test_k_best_ask_more_of_later_blocks():
+    r = np.random.default_rng(6)
+    words = r.integers(0, 1 << 63, 3000)
+    pops = np.array([int(w).bit_count() for w in words], "<i4")
+    block = lambda a, b, left: tiles._Block(np.arange(a, b).astype("<i8").tobytes(), pops[a:b].tobytes(), words[a:b].astype("<i8").tobytes(), "tanimoto", 0.0, left)
+    x, computed = block(0, 500, True), []
+    for start in range(0, 3000, 1000):
+        y = block(start, start + 1000, False)
+        tiles._keep(x, y, "tanimoto", 0.0, 3)
+        computed.append(sum(len(c) for _, _, c in tiles._found(x, y, "tanimoto", False)))
+    assert sum(computed) < 0.05 * 500 * 3000 and len(x.best[0]) == 1500
+
+
 @pytest.mark.parametrize("index", ["RR", "JT", "SM"])
 def test_complementary_is_dense(spark, index):
     r = np.random.default_rng(1)
