@@ -24,6 +24,8 @@ TILE = 4096
 _ROWS = 512
 #: Partners of a block that travel with one copy of it, at least where the k best are kept.
 _SHARE = 8
+#: MB of blocks that one partition of panels has: Python workers may get it as one batch.
+_PART_MB = 8
 #: Panels a core where the k best are kept, so many at least.
 _PANELS = 16
 #: Columns of the first block that tell what a row's k best must reach at least.
@@ -66,15 +68,16 @@ def _blocks(rows: DataFrame, id: str, width: int, tile: int) -> tuple[DataFrame,
     return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, pops binary, words binary"), plan
 
 
-def _pairs(spark, left: list, right: list, reach, mirror: bool, share: int = _SHARE) -> DataFrame:
+def _pairs(spark, left: list, right: list, reach, mirror: bool, share=lambda pairs: _SHARE) -> tuple[DataFrame, int]:
     """(a, b, share) of the blocks of two lists of strips that reach(left strip) = (least,
-    greatest popcount) lets meet; with mirror, both lists are one and a <= b."""
-    rows = []
+    greatest popcount) lets meet, and how many they are; with mirror, both lists are one and a <= b."""
+    rows, every = [], 0
     for s, (low, high, k) in enumerate(left):
         least, most = reach(low, high)
         inside = [t for t, (lo, hi, _) in enumerate(right) if hi >= least and lo <= most and (not mirror or t >= s)]
         if inside:
             rows.append((s, k, inside[0], inside[-1]))
+            every += k * sum(kt for _, _, kt in right[inside[0] : inside[-1] + 1])
     met = spark.createDataFrame(rows, "s long, ks int, low int, high int").select("s", "ks", F.explode(F.sequence("low", "high")).alias("t"))
     pieces = spark.createDataFrame([(t, k) for t, (_, _, k) in enumerate(right)], "t int, kt int")
     # a row for each popcount at most on either side; block pairs are made where they are dealt
@@ -83,7 +86,8 @@ def _pairs(spark, left: list, right: list, reach, mirror: bool, share: int = _SH
     block = lambda s, i: F.call_function("shiftleft", F.col(s).cast("long"), F.lit(32)) + F.col(i)
     both = met.select("s", "t", i.alias("i"), "kt").select("s", "t", "i", j.alias("j")).select(block("s", "i").alias("a"), block("t", "j").alias("b"))
     both = both.filter("a <= b") if mirror else both
-    return both.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(max(1, -(-sum(k for *_, k in right) // share)))))
+    shares = max(1, -(-sum(k for *_, k in right) // share(every)))
+    return both.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(shares))), every
 
 
 class _Block:
@@ -147,11 +151,13 @@ def _found(x: _Block, y: _Block, metric: str, same: bool) -> Iterator[tuple]:
             yield rows[hit], cols[hit], coeff[hit]
 
 
-def _panels(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each (a, share): the block a, then its partners, as rows (other, a, b, ids, pops, words)."""
+def _panels(pairs: DataFrame, every: int, left: DataFrame, right: DataFrame, width: int, tile: int) -> DataFrame:
+    """For each (a, share): the block a, then its partners, as rows (other, a, b, ids, pops, words).
+
+    So many partitions that none grows with the tables."""
     own = pairs.select("a", "share").distinct().join(left, F.col("a") == F.col("block")).select("a", "share", F.lit(False).alias("other"), F.lit(None).cast("long").alias("b"), "ids", "pops", "words")
     others = pairs.join(right, F.col("b") == F.col("block")).select("a", "share", F.lit(True).alias("other"), "b", "ids", "pops", "words")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every * tile * (width // 8 + 12) // int(_PART_MB * 1e6)))
     both = own.unionByName(others).repartition(n, "a", "share").sortWithinPartitions("a", "share", "other")
     return both.select("other", "a", "b", "ids", "pops", "words")
 
@@ -207,7 +213,7 @@ def _half_panels(fps: DataFrame, threshold: float, metric: str, width: int, tile
     blocks, plan = _blocks(fps.select("mol_id", "words", "popcnt"), "mol_id", width, tile)
     most = [partner_limit(metric, p, threshold, width) for p in range(width + 1)]
     pairs = _pairs(fps.sparkSession, plan, plan, lambda low, high: (0, max(most[low : high + 1])), True)
-    return _panels(pairs, blocks, blocks)
+    return _panels(*pairs, blocks, blocks, width, tile)
 
 
 def _slabs(found: Iterator[tuple], most: int = 1 << 20) -> Iterator[tuple]:
@@ -250,11 +256,11 @@ def best_matches(fps: DataFrame, queries: DataFrame, k: int | None, threshold: f
         for rows, cols, coeff in _found(x, y, metric, False):
             yield _matches(x.ids[rows], y.ids[cols], coeff)
 
-    share = _SHARE
+    share = lambda every: _SHARE
     if k is not None:  # few panels give few rows to rank, but each core has several
-        every = sum(n for *_, n in plan) * sum(n for *_, n in ask_plan)
-        share = max(_SHARE, every // (_PANELS * fps.sparkSession.sparkContext.defaultParallelism))
-    panels = _panels(_pairs(fps.sparkSession, ask_plan, plan, reach, False, share), asked, blocks)
+        share = lambda every: max(_SHARE, every // (_PANELS * fps.sparkSession.sparkContext.defaultParallelism))
+    pairs = _pairs(fps.sparkSession, ask_plan, plan, reach, False, share)
+    panels = _panels(*pairs, asked, blocks, width, tile)
     if k is None:
         run = _visit(metric, threshold, found, False)
     else:

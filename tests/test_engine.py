@@ -177,6 +177,14 @@ def test_matrix_takes_few_bytes_a_pair(spark, tmp_path):
     assert n > 1_000_000 and sum(f.stat().st_size for f in (tmp_path / "matrix").glob("*.parquet")) < 2.5 * n
 
 
+def test_partitions_of_panels_do_not_grow_with_the_table(spark, monkeypatch):
+    df = table(spark, [(i, [i % 50, 60 + i % 7, 70 + i % 11]) for i in range(400)])
+    asked = df.select(F.col("mol_id").alias("query_id"), "words", "popcnt")
+    monkeypatch.setattr(tiles, "_PART_MB", 0.01, raising=False)
+    parts = tiles.best_matches(df, asked, None, 0.9, "tanimoto", 128, tile=20).rdd.getNumPartitions()
+    assert parts >= 400 // 20 * 400 // 20 * 20 * 28 // 10_000 > 4
+
+
 def test_strips_cut_a_common_popcount():
     assert tiles.strips({1: 3, 2: 4, 3: 100, 5: 1}, 8) == [(1, 2, 1), (3, 3, 13), (5, 5, 1)]
 
